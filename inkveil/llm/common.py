@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of one Arrow batch; a batch of very long texts stays within the second.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 8 << 20
 U64 = np.uint64
 
 
@@ -76,3 +76,29 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U64(27))
     h = h * U64(0x81DADEF4BC2DD44D)
     return h ^ (h >> U64(33))
+
+#: An odd multiplier and its inverse modulo 2**64, for hashes of byte ranges.
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for n bytes at least; grown by doubling and kept."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        out = []
+        for base in (_BASE, _INVERSE):
+            p = np.full(size, base, U64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _powers[:] = out
+    return _powers
+
+
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of raw[s:e] for each pair; equal bytes of equal length give equal hashes, wherever they are."""
+    power, inverse = _tables(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, U64)
+    np.cumsum((raw.astype(U64) + U64(1)) * power[: len(raw)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD1B54A32D192ED03))

@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import small_batches, table
+from inkveil.llm.common import range_hashes, small_batches, table
 
 LENGTH, END_ID = 4096, 2
 #: Documents and text bytes of a group, on average: some thousands of sequences, a few MB in a task.
 GROUP_ROWS, GROUP_BYTES = 8192, 64 << 20
 #: Entries of word parts that a worker keeps, twice over; one batch may add to them.
-MAX_PARTS = 400_000
+MAX_PARTS = 500_000
 
 
 class WordIds:
@@ -42,7 +42,7 @@ class WordIds:
     """
 
     PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
-    PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\s]+")
+    PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9\s]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,8 +56,8 @@ class WordIds:
         self.ends = np.zeros(1 + max(bare["model"]["vocab"].values()), bool)
         self.ends[[i for k, i in bare["model"]["vocab"].items() if end and k.endswith(end)]] = True
         self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
-        self.parts: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.parts: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
         # The tokenizer's letters for bytes: printable bytes stand for themselves, the others for 256 and up.
         others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.letter = {b: chr(256 + i) for i, b in enumerate(others)}
@@ -71,41 +71,96 @@ class WordIds:
     def plain(self, text: str) -> bool:
         return self.fast and bool(self.PLAIN.fullmatch(text)) and not ("<" in text and any(s in text for s in self.specials))
 
-    def learn(self, unseen: set[str]) -> None:
-        if len(self.parts) >= MAX_PARTS:  # two generations: what is still in use comes back from the old one
-            self.old, self.parts = self.parts, {}
-        fresh = []
-        for p in unseen:
-            got = self.old.get(p)
-            if got is None:
-                fresh.append(p)
-            else:
-                self.parts[p] = got
-        fresh.sort()
-        for i in range(0, len(fresh), 256):
-            some = fresh[i : i + 256]
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(parts), 256):
+            some = parts[i : i + 256]
             spelt = " ".join(p if p.isascii() else "".join(self.letter.get(b) or chr(b) for b in p.encode()) for p in some)
             ids = np.array(self.bare.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
-            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            raw, at = ids.tobytes(), 0
-            for p, to in zip(some, cuts.tolist(), strict=True):
-                self.parts[p] = raw[at:to]
-                at = to
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+            assert len(out) == i + len(some)
+        return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
         plain = [self.plain(t) for t in texts]
-        cut = [self.PART.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
-        words = {i: t.replace("\n", " ").split(" ") for i, (t, p) in enumerate(zip(texts, plain)) if not p}
-        odd = {w: self.PART.findall(w.lower()) if self.plain(w) else None for w in set().union(*words.values())}
-        known = self.parts.keys()
-        self.learn({p for x in (*cut, *odd.values()) if x for p in x if p not in known})
-        now, need = self.parts, set()
-        if self.old:  # a change of generation within this batch
-            need = {p for x in (*cut, *odd.values()) if x for p in x if p not in now}
-            self.learn(need) if need else None
-        get = self.parts.__getitem__
-        found = {w: b"".join(map(get, x)) if x is not None else self.whole(w) for w, x in odd.items()}
-        return [b"".join(map(get, x)) if x is not None else b"".join(map(found.__getitem__, words[i])) for i, x in enumerate(cut)]
+        # An apostrophe may begin a part of its own; such texts are cut by the pattern, the others by byte classes.
+        quoted = [p and "'" in t for t, p in zip(texts, plain)]
+        out: list[bytes] = [b""] * len(texts)
+        dense = [i for i, (p, q) in enumerate(zip(plain, quoted)) if p and not q]
+        for i, x in zip(dense, self.dense([texts[i] for i in dense])):
+            out[i] = x
+        words: dict[str, bytes] = {}
+        for i, (t, p, q) in enumerate(zip(texts, plain, quoted)):
+            if not p or q:
+                cut = t.replace("\n", " ").split(" ")
+                new = [w for w in dict.fromkeys(cut) if w not in words]
+                whole = [w for w in new if not self.plain(w)]
+                words.update((w, self.whole(w)) for w in whole)
+                odd = [w for w in new if w not in words]
+                for w, x in zip(odd, self.dense(odd, [self.PART.findall(w.lower()) if "'" in w else None for w in odd])):
+                    words[w] = x
+                out[i] = b"".join(map(words.__getitem__, cut))
+        return out
+
+    def dense(self, texts: list[str], given: list[list[str] | None] | None = None) -> list[bytes]:
+        """Ids of plain texts. given: a text's parts, where they have been cut already."""
+        if not texts:
+            return []
+        if given and any(given):
+            texts = [" ".join(g) if g else t for t, g in zip(texts, given)]
+        raw = np.frombuffer("\n".join(texts).encode() + b"\n", np.uint8).copy()
+        lengths = np.fromiter((len(t.encode()) if not t.isascii() else len(t) for t in texts), np.int64, len(texts))
+        offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
+        raw[(raw >= 65) & (raw <= 90)] += 32
+        high = np.flatnonzero((raw >= 0x80) & (raw <= 0x9E))
+        raw[high[raw[high - 1] == 0xC3]] += 32
+        kind = BYTE_KIND[raw]
+        edge = np.empty(len(raw), bool)
+        edge[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+        edge |= kind == 2
+        if given and any(given):  # what was cut is kept apart by the spaces alone
+            edge[1:] &= (kind[1:] == 0) | (kind[:-1] == 0) | ~np.repeat([g is not None and bool(g) for g in given], lengths + 1)[1:]
+        at = np.flatnonzero(edge)
+        to = np.append(at[1:], len(raw))
+        real = kind[at] != 0
+        at, to = at[real], to[real]
+        if not len(at):
+            return [b""] * len(texts)
+        keys, first, inverse = np.unique(range_hashes(raw, at, to), return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        found = list(map(self.parts.get, keys))
+        unseen = [i for i, x in enumerate(found) if x is None]
+        if unseen:
+            if len(self.parts) >= MAX_PARTS:  # two generations: what is still in use comes back from the old one
+                self.old, self.parts = self.parts, {}
+            fresh = []
+            for i in unseen:
+                found[i] = self.old.get(keys[i])
+                if found[i] is None:
+                    fresh.append(i)
+                else:
+                    self.parts[keys[i]] = found[i]
+            data = raw.tobytes()
+            for i, x in zip(fresh, self.encode_parts([data[at[first[i]] : to[first[i]]].decode() for i in fresh])):
+                found[i] = self.parts[keys[i]] = x
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begins[inverse] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        cuts = (4 * upto[np.searchsorted(at, offsets)]).tolist()
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
+#: Of the bytes of lower-cased plain text: 0 white space, 1 letters, 2 digits, 3 signs.
+BYTE_KIND = np.full(256, 3, np.uint8)
+BYTE_KIND[[9, 10, 13, 32]] = 0
+BYTE_KIND[97:123] = BYTE_KIND[0x80:] = 1
+BYTE_KIND[48:58] = 2
 
 
 _WORDS: dict[str, WordIds] = {}
