@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from inkveil.llm.common import table, written
+from inkveil.llm.common import small_batches, table, written
 
 K, EVERY, SEED = 5, 50, 20240
 #: Bits of a code (a vector's own dimensions, if more), and the width of the error bound in standard deviations.
@@ -126,6 +126,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bits: int = CODE
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
     found = written(met.select("keys", "x", "codes", "scalars", "qkeys", "qx").mapInArrow(scan, "qkey string, key string, score double"), "ann-found")
+    small_batches(spark)
     first = members.filter("n = 1").select("key", F.col("vec_id").alias("first"))
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "first")
     found = found.join(first, "key").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
