@@ -52,6 +52,15 @@ def drop_written(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: Rows up to which a table of keys and short lists is sent to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def guarded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted and found small; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 

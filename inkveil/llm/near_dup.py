@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import mix64, range_hashes, small_batches, table, utf8_slices, written
+from inkveil.llm.common import guarded, mix64, range_hashes, small_batches, table, utf8_slices, written
 
 WORDS, PERCENT = 5, 85
 ORDERS, DEPTH = 16, 4
@@ -227,6 +227,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang, source, n_chars of the documents that stay."""
+    gone = written(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(guarded(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

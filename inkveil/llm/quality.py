@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import mix64, range_hashes, small_batches, table, utf8_slices, written
+from inkveil.llm.common import guarded, mix64, range_hashes, small_batches, table, utf8_slices, written
 
 FOLDS, THRESHOLD = 5, 0.3
 #: Weight of the pooled covariance in a class's own, and of the diagonal added to it.
@@ -169,6 +169,27 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return x.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model from the labelled training rows of docs alone."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1)")
+    near = guarded(known.select("doc_id").distinct())
+    x = features(docs.select("doc_id", "text").join(near, "doc_id", "left_semi")).filter("not held_out")
+    return Discriminant(moments(x.join(known, "doc_id").select("label", "x"), len(FEATURES)))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, lang, source, n_chars of the documents that are predicted 1."""
+    model = fit(docs, labels)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            good = model.scores(statistics(*utf8_slices(b.column(1)))) >= THRESHOLD
+            yield b.filter(pa.array(good))
+
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
