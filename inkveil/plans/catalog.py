@@ -1,3 +1,225 @@
 """Queries of the redaction engine by name, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from inkveil.functions import patterns as P, text as T
+from inkveil.operators import detect as D, evaluate as E, redact as R
+from inkveil.sources import truth as S
+
 QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Checks in plain arithmetic, a second time and for both engines: the truth's side of the checksums.
+_d = lambda c, i: f"cast(substr({c}, {i}, 1) as int)"
+_ICO_SUM = "((" + " + ".join(f"{8 - i} * {_d('ico', i + 1)}" for i in range(7)) + ") % 11)"
+_PLAIN = "replace(iban, ' ', '')"
+CHECKS = {
+    "rc": "cast(replace(rc, '/', '') as bigint) % 11 = 0",
+    "ico": f"{_d('ico', 8)} = CASE {_ICO_SUM} WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 11 - {_ICO_SUM} END",
+    "iban": f"((cast(substr({_PLAIN}, 5, 10) as bigint) % 97) * {pow(10, 16, 97)} + (cast(substr({_PLAIN}, 15, 10) as bigint) % 97) * {pow(10, 6, 97)} + cast('2820' || substr({_PLAIN}, 3, 2) as bigint)) % 97 = 1",
+    "acc": "(" + " + ".join(f"{w} * {_d('acc', i + 1)}" for i, w in enumerate([10, 5, 8, 4, 2, 1])) + ") % 11 = 0 AND (" + " + ".join(f"{w} * {_d('acc', i + 8)}" for i, w in enumerate([6, 3, 7, 9, 10, 5, 8, 4, 2, 1])) + ") % 11 = 0",
+}
+_DUCK_NAME = "[" + ", ".join(f"'{n}'" for n in S.NAMES) + f"][cast(1 + k % {len(S.NAMES)} as int)]"
+_ENTITY = "CASE WHEN surface = 'Kováčovej' THEN 'entity:1' ELSE 'entity:0' END"
+_CARRIER = f"c AS ({S.carrier_sql('orders', _DUCK_NAME)})"
+_FOUND = _CARRIER + ", t AS (" + " UNION ALL ".join(f"SELECT doc_id, unit_seq, location, text, '{S.TYPES[f]}' AS type, {f} AS surface, strpos(text, {f}) - 1 AS start, {CHECKS.get(f, 'true')} AS auto, lower(regexp_replace({f}, '[\\s ]', '', 'g')) AS group_key FROM c" for f in S.FIELDS)
+_FOUND += "".join(f" UNION ALL SELECT doc_id, unit_seq, location, text, 'MENO', surface, 12 + o, true, {_ENTITY} FROM (SELECT *, {s} AS surface, {o} AS o FROM c WHERE {w})" for s, o, w in (("'Ján'", 0, "name = 'Ján Novák'"), ("'Novák'", 4, "name = 'Ján Novák'"), ("name", 0, "name in ('Nováka', 'Kováčovej', 'Novákovcov')"))) + ")"
+_SPANS = _FOUND + ", f AS (SELECT doc_id, unit_seq, location, text, type, surface, cast(start as int) AS start, cast(start + length(surface) as int) AS \"end\", auto, group_key FROM t)"
+_SNIP = "trim(regexp_replace(substr(text, greatest(start - 40, 0) + 1, \"end\" + 40 - greatest(start - 40, 0)), '[\\s ]+', ' ', 'g'))"
+
+
+def _labels(where: str) -> str:
+    return f", k AS (SELECT *, min(lpad(cast(unit_seq as varchar), 12, '0') || lpad(cast(start as varchar), 8, '0')) OVER (PARTITION BY doc_id, type, group_key) AS first FROM f WHERE {where}), l AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, type ORDER BY first, group_key) AS n FROM k), m AS (SELECT *, '[' || type || '_' || n || ']' AS label FROM l)"
+
+
+_LABELLED = _SPANS + _labels("auto")
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.spans(S.carrier(spark, sf_dir), "known")
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The carriers' ground truth, a unit a document: what the fields are, and a decoy."""
+    c = S.carrier(spark, sf_dir)
+    rows = [F.struct(F.lit(t).alias("type"), F.col(f).alias("surface"), F.expr(CHECKS.get(f, "true")).alias("ok")) for f, t in S.TYPES.items()]
+    rows += [F.struct(F.lit("ORDER_NO").alias("type"), F.lit("123/2024").alias("surface"), F.lit(None).cast("boolean").alias("ok"))]
+    return c.select(F.col("unit_seq").alias("doc_id"), F.explode(F.array(*rows)).alias("x")).select("doc_id", "x.surface", "x.type", F.coalesce("x.ok", F.lit(False)).alias("auto_redact"), F.coalesce(~F.col("x.ok"), F.lit(False)).alias("should_flag"), F.lit("body").alias("part"))
+
+
+def _surfaces(units: DataFrame) -> DataFrame:
+    return units.select(F.col("unit_seq").alias("doc_id"), F.lit("document_xml").alias("part"), "text")
+
+
+_EMAIL_RE2 = P.SECOND["EMAIL"][0][0]
+
+
+@query(f"SELECT lang, count(*) AS n, cast(sum(length(e)) as bigint) AS chars FROM (SELECT lang, unnest(regexp_extract_all(text, '{_EMAIL_RE2}')) AS e FROM documents) GROUP BY lang")
+def email_by_lang(spark, sf_dir):
+    d = D.candidates(_read(spark, sf_dir, "documents").select("lang", "text"), {"EMAIL": P.SECOND["EMAIL"]}, "text", "x")
+    return d.select("lang", F.explode("x").alias("x")).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("x.surface")).alias("chars"))
+
+
+@query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{P.SECOND['URL'][0][0]}')) AS u FROM pages) GROUP BY page_id")
+def url_pages(spark, sf_dir):
+    d = D.candidates(_read(spark, sf_dir, "pages").select("page_id", "html"), {"URL": P.SECOND["URL"]}, "html", "x")
+    return d.select("page_id", F.explode("x").alias("x")).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, d AS surface FROM (SELECT page_id, unnest(regexp_extract_all(html, '\\b\\d{10}\\b')) AS d FROM pages)")
+def dic_pages(spark, sf_dir):
+    d = D.candidates(_read(spark, sf_dir, "pages").select("page_id", "html"), {"DIC": P.FIRST["DIC"]}, "html", "x")
+    return d.select("page_id", F.explode("x").alias("x")).select("page_id", "x.surface")
+
+
+for _f, _t in S.TYPES.items():
+    def _one(spark, sf_dir, t=_t):
+        """Resolved spans of one type on the carriers."""
+        return _found(spark, sf_dir).filter(F.col("type") == t).select("unit_seq", "surface", "start", "end", "auto")
+
+    QUERIES[f"detect_{_t.lower()}"] = _one
+    ORACLES[f"detect_{_t.lower()}"] = f"WITH {_SPANS} SELECT unit_seq, surface, start, \"end\", auto FROM f WHERE type = '{_t}'"
+
+
+@query(f"WITH {_SPANS} SELECT unit_seq, surface, start, group_key FROM f WHERE type = 'MENO'")
+def known_entities(spark, sf_dir):
+    return _found(spark, sf_dir).filter("type = 'MENO'").select("unit_seq", "surface", "start", "group_key")
+
+
+@query(f"WITH {_SPANS} SELECT type, auto, count(*) AS n, cast(sum(start) as bigint) AS starts FROM f GROUP BY type, auto")
+def resolved_counts(spark, sf_dir):
+    return _found(spark, sf_dir).groupBy("type", "auto").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
+_STEM = "regexp_replace(translate(lower(w), 'áéíóúýĺŕ', 'aeiouylr'), '^(.{3,}?)(?:" + "|".join(T.ENDINGS) + ")$', '\\1')"
+
+
+@query(f"SELECT w, {_STEM} AS s, count(*) AS n FROM (SELECT unnest(string_split({_DUCK_NAME}, ' ')) AS w FROM (SELECT o_orderkey AS k FROM orders)) GROUP BY w")
+def stems(spark, sf_dir):
+    d = S.carrier(spark, sf_dir).select(F.explode(F.split("name", " ")).alias("w"))
+    return d.groupBy("w").agg(F.count("*").alias("n")).withColumn("s", T.stem(F.col("w")))
+
+
+@query(f"WITH {_LABELLED} SELECT doc_id, unit_seq, start, label FROM m")
+def labels(spark, sf_dir):
+    return R.label(R.decide(_found(spark, sf_dir))).select("doc_id", "unit_seq", "start", "label")
+
+
+def _redacted_sql() -> str:
+    pick = lambda t: f"max(CASE WHEN type = '{t}' THEN label END)"
+    picks = ", ".join(f"{pick(t)} AS l_{f}" for f, t in S.TYPES.items())
+    cols = ", ".join(f"coalesce(l_{f}, {f}) AS {f}" for f in S.FIELDS)
+    name = "CASE WHEN name = 'Ján Novák' THEN l_name || ' ' || l_name WHEN l_name IS NOT NULL THEN l_name ELSE name END AS name"
+    return f"WITH {_LABELLED}, p AS (SELECT unit_seq, {pick('MENO')} AS l_name, {picks} FROM m GROUP BY unit_seq), r AS (SELECT c.doc_id, c.unit_seq, {name}, {cols} FROM c LEFT JOIN p USING (unit_seq)) SELECT doc_id, unit_seq, {S.TEXT} AS text FROM r"
+
+
+@query(_redacted_sql())
+def redacted_text(spark, sf_dir):
+    u = S.carrier(spark, sf_dir)
+    return R.redact(u, R.label(R.decide(R.spans(u, "known")))).select("doc_id", "unit_seq", "text")
+
+
+@query(f"WITH {_LABELLED} SELECT doc_id, label, type, n AS n, count(*) AS occurrences, string_agg(DISTINCT location, ',' ORDER BY location) AS locations FROM m GROUP BY doc_id, label, type, n")
+def report_rows(spark, sf_dir):
+    return R.report_rows(R.label(R.decide(_found(spark, sf_dir))))
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, unit_seq, location, type, surface, start, {_SNIP} AS snippet FROM f WHERE NOT auto")
+def low_confidence(spark, sf_dir):
+    return R.low_confidence(R.decide(_found(spark, sf_dir)))
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, type, group_key, CASE WHEN auto THEN 'auto' ELSE 'review' END AS bucket, first(surface ORDER BY unit_seq, start) AS text, first({_SNIP} ORDER BY unit_seq, start) AS snippet, string_agg(DISTINCT location, ',' ORDER BY location) AS locations, count(*) AS count FROM f GROUP BY doc_id, type, group_key, auto")
+def review_rows(spark, sf_dir):
+    return R.review_rows(R.decide(_found(spark, sf_dir)))
+
+
+_ACTIONS = "doc_id % 2 = 0 AND type = 'MENO'"
+
+
+@query(f"WITH {_SPANS}{_labels(f'(auto AND NOT ({_ACTIONS})) OR (NOT auto AND type = {chr(39)}ICO{chr(39)})')} SELECT doc_id, unit_seq, start, label FROM m")
+def decisions(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    d = found.filter(f"({_ACTIONS}) or type = 'ICO'").select("doc_id", "type", "group_key", F.when(F.col("type") == "ICO", "force").otherwise("suppress").alias("action"))
+    return R.label(R.decide(found, d)).select("doc_id", "unit_seq", "start", "label")
+
+
+@query()
+def report_texts(spark, sf_dir):
+    d = R.decide(_found(spark, sf_dir))
+    return R.report_text(R.label(d), d)
+
+
+@query(f"WITH {_SPANS} SELECT unit_seq AS doc_id, surface, type, 'document_xml' AS found_in, 'other' AS kind FROM f WHERE auto AND type <> 'MENO'")
+def leaks_of_null(spark, sf_dir):
+    return E.leaks(_truth(spark, sf_dir), _surfaces(S.carrier(spark, sf_dir)))
+
+
+def _redacted(spark, sf_dir):
+    u = S.carrier(spark, sf_dir)
+    return _surfaces(R.redact(u, R.label(R.decide(R.spans(u, "known")))))
+
+
+@query("SELECT cast(0 as bigint) AS n")
+def leaks_of_engine(spark, sf_dir):
+    return E.leaks(_truth(spark, sf_dir), _redacted(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SPANS}, x AS (SELECT type, auto FROM f WHERE type <> 'MENO' UNION ALL SELECT 'ORDER_NO', NULL FROM c), g AS (SELECT type, count(*) FILTER (auto) AS a, count(*) FILTER (NOT auto) AS b, count(*) FILTER (auto IS NULL) AS d FROM x GROUP BY type) SELECT type, a AS auto_total, a AS auto_removed, d AS decoy_total, d AS decoy_kept, b AS flag_total, b AS flag_kept, CASE WHEN a > 0 THEN 1.0::DOUBLE END AS recall, CASE WHEN d > 0 THEN 1.0::DOUBLE END AS decoy_survival, CASE WHEN b > 0 THEN 1.0::DOUBLE END AS flag_survival FROM g")
+def rates_by_type(spark, sf_dir):
+    return E.rates(_truth(spark, sf_dir), _redacted(spark, sf_dir))
+
+
+_GATES = ("leak_ok", "integrity_ok", "unexpected_ok", "coverage_ok", "retention_ok", "decoy_ok", "flag_ok")
+#: What each known-bad redactor must fail.
+EXPECTED = {"null": {"leak_ok"}, "scorch": {"retention_ok", "decoy_ok", "flag_ok"}, "empty_output": {"retention_ok", "decoy_ok", "flag_ok"}, "greedy": {"flag_ok"}}
+
+
+@query(" UNION ALL ".join(f"SELECT '{b}' AS baseline, " + ", ".join(f"{str(g not in bad).lower()} AS {g}" for g in _GATES) for b, bad in EXPECTED.items()))
+def baseline_matrix(spark, sf_dir):
+    t, o = _truth(spark, sf_dir), _surfaces(S.carrier(spark, sf_dir))
+    files = o.select("doc_id", F.lit(False).alias("must_refuse"), F.lit("graded").alias("status"))
+    out = None
+    for b in EXPECTED:
+        r = E.baseline(b, o, t)
+        row = E.gates(E.leaks(t, r), E.rates(t, r), E.retention(t, o, r), files).withColumn("baseline", F.lit(b))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("WITH s AS (SELECT o_custkey AS doc_id, cast(o_orderkey % 400 as int) AS start, cast(o_orderkey % 400 + 1 + o_orderkey % 23 as int) AS e FROM orders), g AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s), h AS (SELECT *, sum(CASE WHEN start <= r THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT doc_id, min(start) AS start, max(e) AS \"end\" FROM h GROUP BY doc_id, k")
+def merge_islands(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    return E.merged(o.select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 400).cast("int").alias("start"), (F.col("o_orderkey") % 400 + 1 + F.col("o_orderkey") % 23).cast("int").alias("end")))
+
+
+
+
+@query("WITH e AS (SELECT 'f' || p_partkey AS path, sha256(p_name) AS h FROM part WHERE p_partkey % 10 <> 1), a AS (SELECT 'f' || p_partkey AS path, sha256(CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE p_name END) AS h FROM part WHERE p_partkey % 10 <> 2) SELECT coalesce(e.path, a.path) AS path, CASE WHEN a.path IS NULL THEN 'MISSING' WHEN e.path IS NULL THEN 'UNEXPECTED' ELSE 'CHANGED' END AS status FROM e FULL JOIN a ON e.path = a.path WHERE e.path IS NULL OR a.path IS NULL OR e.h <> a.h")
+def manifest_verify(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    path = F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path")
+    e = p.filter("p_partkey % 10 <> 1").select(path, F.sha2("p_name", 256).alias("sha256"))
+    a = p.filter("p_partkey % 10 <> 2").select(path, F.sha2(F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(F.col("p_name")), 256).alias("sha256"))
+    return E.manifest_diff(e, a)
+
+
+@query("SELECT cast(0 as bigint) AS n")
+def gt_collisions(spark, sf_dir):
+    return E.collisions(_truth(spark, sf_dir)).agg(F.count("*").alias("n"))
