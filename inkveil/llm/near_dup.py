@@ -159,7 +159,7 @@ def neighbours(members: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets reach the threshold."""
+    """Pairs a, b whose sets reach the threshold: within each task, links that span all components of its pairs."""
     spark = docs.sparkSession
     need = written(pairs.select("region", F.explode(F.array("a", "b")).alias("key")).distinct(), "near-need")
     ids = reps.join(need.select("key").distinct(), "key").select("doc", "n")
@@ -183,13 +183,24 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def check(own: pa.Table, theirs: pa.Table) -> pa.Table:
         s = {k: np.frombuffer(v, np.uint64) for k, v in zip(theirs.column("key").to_pylist(), theirs.column("set").to_pylist())}
-        out = []
+        out, up = [], {k: k for k in s}
+
+        def root(k):
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
         for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist()):
+            p, q = root(a), root(b)
+            if p == q:  # linked already: a further link changes no component
+                continue
             x, y = s[a], s[b]
             if len(x) > len(y):
                 x, y = y, x
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
             if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                up[max(p, q)] = min(p, q)
                 out.append((a, b))
         return pa.table([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
