@@ -158,13 +158,18 @@ def spans(docs: DataFrame) -> DataFrame:
             for row in b.to_pylist():
                 raw, offsets, at = _chunk(row)
                 starts, h = _strings(raw, offsets, at)
-                u = np.unique(h)
-                of = bucket_of(u)
+                order = np.argsort(h)
+                new = np.ones(len(h), bool)
+                new[1:] = h[order[1:]] != h[order[:-1]]
+                u = h[order[new]]
                 again = np.zeros(len(u), bool)
+                cuts = np.searchsorted(bucket_of(u), np.arange(buckets + 1))
                 for x in row["told"]:
-                    i, j = np.searchsorted(of, [x["bucket"], x["bucket"] + 1])
+                    i, j = cuts[x["bucket"]], cuts[x["bucket"] + 1]
                     again[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i)
-                s = starts[again[np.searchsorted(u, h)]]
+                hit = np.empty(len(h), bool)
+                hit[order] = again[np.cumsum(new) - 1]
+                s = starts[hit]
                 first = np.ones(len(s), bool)
                 text = np.searchsorted(offsets, s, side="right") - 1
                 first[1:] = (s[1:] > s[:-1] + LENGTH) | (text[1:] != text[:-1])
