@@ -198,6 +198,7 @@ def keep(raw: bytes, starts: list[int] | None, ends: list[int] | None) -> bytes:
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs, null texts as empty, with starts and ends of what goes; null where nothing does."""
+    docs = docs.drop("k", "n_bytes", "starts", "ends")  # columns of our own names
     d = text_key(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     return d.join(guarded(spans(docs)), ["k", "n_bytes"], "left")
 
