@@ -120,26 +120,31 @@ def forest(reps: DataFrame) -> DataFrame:
     return done.unionByName(blocks)
 
 
+def likely(region: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one region, given in its order, whose sizes and signatures leave the threshold in reach; nearest first."""
+    left, right = [], []
+    for d in range(1, len(region)):
+        i = np.flatnonzero(region[:-d] == region[d:])
+        if not len(i):
+            break
+        i = i[100 * np.minimum(n[i], n[i + d]) >= PERCENT * np.maximum(n[i], n[i + d])]
+        i = i[(sig[i] == sig[i + d]).sum(axis=1) >= LEAST_EQUAL]
+        left.append(i)
+        right.append(i + d)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _signatures(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), ">u4").astype(np.uint32).reshape(-1, HASHES)
+
+
 def neighbours(members: DataFrame) -> DataFrame:
-    """a, b, region, size: pairs of a region whose signatures agree in LEAST_EQUAL values and more."""
+    """region, key, n, sig: the members of a region that have a likely partner there; pairs never become rows."""
 
     def compare(t: pa.Table):
-        region, n = t.column("region").to_numpy(), t.column("n").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").astype(np.uint32).reshape(-1, HASHES)
-        left, right = [], []
-        for d in range(1, len(region)):
-            i = np.flatnonzero(region[:-d] == region[d:])
-            if not len(i):
-                break
-            i = i[100 * np.minimum(n[i], n[i + d]) >= PERCENT * np.maximum(n[i], n[i + d])]
-            i = i[(sig[i] == sig[i + d]).sum(axis=1) >= LEAST_EQUAL]
-            left.append(i)
-            right.append(i + d)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        key = t.column("key").combine_chunks() if isinstance(t.column("key"), pa.ChunkedArray) else t.column("key")
-        x, y = key.take(pa.array(i)).to_pylist(), key.take(pa.array(j)).to_pylist()
-        ab = [(min(p, q), max(p, q)) for p, q in zip(x, y)]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in ab], pa.binary()), pa.array([q for _, q in ab], pa.binary()), pa.array(region[i], pa.int64()), pa.array(t.column("size").to_numpy()[i], pa.int64())], ["a", "b", "region", "size"])
+        i, j = likely(t.column("region").to_numpy(), t.column("n").to_numpy(), _signatures(t.column("sig")))
+        return t.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
 
     def run(batches):
         kept = None
@@ -150,20 +155,19 @@ def neighbours(members: DataFrame) -> DataFrame:
                 continue
             cut = int(np.searchsorted(region, region[-1]))
             if cut:
-                yield compare(t.slice(0, cut))
+                yield from compare(t.slice(0, cut))
             kept = t.slice(cut)
         if kept is not None and len(kept):
-            yield compare(kept)
+            yield from compare(kept)
 
-    return members.select("region", "size", "key", "n", "sig").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(run, "a binary, b binary, region long, size long")
+    return members.select("region", "key", "n", "sig").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(run, "region long, key binary, n long, sig binary")
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs a, b whose sets reach the threshold: within each task, links that span all components of its pairs."""
+def confirmed(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
+    """a, b: of the likely pairs whose sets reach the threshold, links that span all their components in each task."""
     spark = docs.sparkSession
-    need = written(pairs.select("region", F.explode(F.array("a", "b")).alias("key")).distinct(), "near-need")
-    ids = reps.join(need.select("key").distinct(), "key").select("doc", "n")
-    total, size = ids.agg(F.count("*"), F.sum("n")).first()
+    ids = reps.join(need.select("key").distinct(), "key").select("doc")
+    total, size = ids.count(), need.agg(F.sum("n")).first()[0]
     wanted = ids.select(F.col("doc").alias("want")).distinct()
     wanted = F.broadcast(wanted) if total <= BROADCAST_IDS else wanted
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -177,12 +181,16 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary())], ["key", "set"])
 
     made = written(texts.select("text").mapInArrow(sets, "key binary, set binary").dropDuplicates(["key"]), "near-sets")
-    buckets = max(8, -(-8 * 4 * (size or 0) // TASK_BYTES))
+    buckets = max(8, -(-8 * (size or 0) // TASK_BYTES))
     bucket = F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")
-    held = need.join(made, "key").select(bucket, "key", "set").dropDuplicates(["bucket", "key"])
-
-    def check(own: pa.Table, theirs: pa.Table) -> pa.Table:
-        s = {k: np.frombuffer(v, np.uint64) for k, v in zip(theirs.column("key").to_pylist(), theirs.column("set").to_pylist())}
+    held = need.join(made, "key").select(bucket, "region", "key", "n", "sig", "set")
+
+    def check(t: pa.Table) -> pa.Table:
+        keys, region = t.column("key").to_pylist(), t.column("region").to_numpy()
+        sig = _signatures(t.column("sig"))
+        order = np.lexsort((sig[:, 0], region))
+        s = {k: np.frombuffer(v, np.uint64) for k, v in zip(keys, t.column("set").to_pylist())}
+        i, j = likely(region[order], t.column("n").to_numpy()[order], sig[order])
         out, up = [], {k: k for k in s}
 
         def root(k):
@@ -191,7 +199,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
                 k = up[k]
             return k
 
-        for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist()):
+        for a, b in zip((keys[x] for x in order[i]), (keys[x] for x in order[j])):
             p, q = root(a), root(b)
             if p == q:  # linked already: a further link changes no component
                 continue
@@ -204,7 +212,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
                 out.append((a, b))
         return pa.table([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
-    return pairs.select(bucket, "a", "b").groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(check, "a binary, b binary")
+    return held.groupBy("bucket").applyInArrow(check, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,8 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     seen = written(profiles(docs), "near-profiles")
     reps = written(seen.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     members = forest(reps).join(reps.select("key", "n", "sig"), "key")
-    found = neighbours(members).groupBy("a", "b").agg(F.max(F.struct("size", "region")).alias("at")).select("a", "b", "at.region")
-    links = written(confirmed(docs, reps, written(found, "near-pairs")), "near-links")
+    links = written(confirmed(docs, reps, written(neighbours(members), "near-need")), "near-links")
     labels = components(links)
     named = labels.join(reps.select("key", "doc"), "key")
     named = named.join(named.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("key", "component_id")
