@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inkveil.functions.patterns import FIRST, PRECEDENCE, SECOND, U
+from inkveil.functions.patterns import FIRST, NEEDS, PRECEDENCE, SECOND, U
 from inkveil.functions.text import edges_sql, stem_sql
 
 CANDIDATE = "array<struct<type:string,surface:string,start:int,end:int,auto:boolean>>"
@@ -20,10 +20,23 @@ def let(value: str, name: str, use: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {use}), 1)"
 
 
-def located(matches: str, gaps: str) -> str:
-    """surface and start of each match, from the matches and what stands between them."""
-    total = "aggregate(slice({}, 1, {}), 0, (a, y) -> a + length(y))"
-    return f"transform({matches}, (x, i) -> named_struct('surface', x, 'start', {total.format(gaps, 'i + 1')} + {total.format(matches, 'i')}))"
+#: Set around matches; what a text has of it counts as another control character.
+MARK, OTHER = "\u0001", "\u0003"
+
+
+def marked(text: str, pattern: str):
+    """What stands between matches, and the matches, in turn: one run of the pattern for surfaces and places."""
+    return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+
+def start_of(parts: str, i: str) -> str:
+    return f"aggregate(slice({parts}, 1, {i}), 0, (a, y) -> a + length(y))"
+
+
+def located(parts: str) -> str:
+    """surface and start of each match of marked parts."""
+    every = f"transform({parts}, (x, i) -> named_struct('surface', x, 'start', if(i % 2 = 1, {start_of(parts, 'i')}, null)))"
+    return f"filter({every}, x -> x.start is not null)"
 
 
 def _typed(spans: str, type_: str, shape: str | None, check: str | None) -> str:
@@ -35,14 +48,16 @@ def _typed(spans: str, type_: str, shape: str | None, check: str | None) -> str:
 
 
 def candidates(df: DataFrame, types: dict, text: str, out: str) -> DataFrame:
-    """out: candidates of all types in the order of types. Matches are columns of their own, so each pattern runs once a row."""
-    found = {f"_{t}{i}": p for t, (ps, _, _) in types.items() for i, p in enumerate(ps)}
-    d = df.withColumns({f"m{k}": F.regexp_extract_all(text, F.lit(U + p), F.lit(0)) for k, p in found.items()} | {f"g{k}": F.split(text, U + p, -1) for k, p in found.items()})
-    parts = []
+    """out: candidates of all types in the order of types. Parts are columns of their own, so each pattern runs once a row, and only where the text holds what it needs."""
+    d = df.withColumn("_text", F.translate(text, MARK, OTHER))
+    found = {f"_{t}{i}": (p, NEEDS.get(t)) for t, (ps, _, _) in types.items() for i, p in enumerate(ps)}
+    parts = {f"p{k}": marked("_text", U + p) for k, (p, _) in found.items()}
+    d = d.withColumns({c: x if n is None else F.when(~F.contains("_text", F.lit(n)), F.array("_text")).otherwise(x) for (c, x), (_, n) in zip(parts.items(), found.values())})
+    out_parts = []
     for t, (ps, shape, check) in types.items():
-        spans = [located(f"m_{t}{i}", f"g_{t}{i}") for i in range(len(ps))]
-        parts.append(_typed(f"concat({', '.join(spans)})" if len(spans) > 1 else spans[0], t, shape, check))
-    return d.withColumn(out, F.expr(f"cast(concat({', '.join(parts)}) as {CANDIDATE})")).drop(*[f"{x}{k}" for k in found for x in "mg"])
+        spans = [located(f"p_{t}{i}") for i in range(len(ps))]
+        out_parts.append(_typed(f"concat({', '.join(spans)})" if len(spans) > 1 else spans[0], t, shape, check))
+    return d.withColumn(out, F.expr(f"cast(concat({', '.join(out_parts)}) as {CANDIDATE})")).drop("_text", *parts)
 
 
 def entity_stems_sql(entity: str) -> str:
@@ -50,12 +65,18 @@ def entity_stems_sql(entity: str) -> str:
 
 
 def names(df: DataFrame, known: str) -> DataFrame:
-    """_names: each token whose stem is one of a known entity's. Tokens are runs without white space, without edge punctuation."""
-    d = df.withColumns({"_m": F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0)), "_g": F.split("text", r"(?U)\S+", -1)})
+    """_names: each token whose stem is one of a known entity's. Tokens are runs without white space, without edge punctuation.
+
+    Places are worked out for hits alone, so the work grows with the words and not with their square.
+    """
+    d = df.withColumn("_parts", marked(F.translate("text", MARK, OTHER), r"(?U)\S+"))
     d = d.withColumn("_stems", F.expr(f"flatten(transform(coalesce({known}, cast(array() as array<string>)), e -> {entity_stems_sql('e')}))"))
-    tokens = f"transform({located('_m', '_g')}, x -> named_struct('surface', {edges_sql('x.surface')}, 'start', x.start + length(x.surface) - length({edges_sql('x.surface', right=False)})))"
-    hits = f"filter({tokens}, x -> x.surface <> '' and array_contains(_stems, {stem_sql('x.surface')}))"
-    return d.withColumn("_names", F.expr(f"cast({_typed(hits, 'MENO', None, None)} as {CANDIDATE})")).drop("_m", "_g", "_stems")
+    tokens = f"filter(transform(_parts, (x, i) -> named_struct('raw', x, 'i', i, 'token', if(i % 2 = 1, {edges_sql('x')}, ''))), x -> x.token <> '')"
+    hits = f"if(size(_stems) = 0, null, filter({tokens}, x -> array_contains(_stems, {stem_sql('x.token')})))"
+    left = edges_sql("x.raw", right=False)
+    placed = f"transform(coalesce({hits}, array()), x -> named_struct('n', length(x.token), 'start', {start_of('_parts', 'x.i')} + length(x.raw) - length({left})))"
+    spans = f"transform({placed}, x -> named_struct('surface', substr(text, x.start + 1, x.n), 'start', x.start))"
+    return d.withColumn("_names", F.expr(f"cast({_typed(spans, 'MENO', None, None)} as {CANDIDATE})")).drop("_parts", "_stems")
 
 
 _INSIDE = "y.start <= x.start and x.end <= y.end"

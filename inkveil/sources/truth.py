@@ -35,9 +35,15 @@ def carrier_sql(orders: str, name: str) -> str:
     return f"SELECT c AS doc_id, k AS unit_seq, loc AS location, {TEXT} AS text, name, {', '.join(FIELDS)} FROM (SELECT o_custkey AS c, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'header' ELSE 'body' END AS loc, {name} AS name, {fields} FROM (SELECT *, o_orderkey AS k FROM {orders}) o) s"
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """Narrow key rows over all cores, where their files are fewer than these: what is made of the keys is much wider."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(cores, "o_orderkey") if len(keys.inputFiles()) < cores else keys
+
+
 def carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units with known entities, made of orders; one document a customer."""
-    return spark.sql(carrier_sql("{orders}", NAME), orders=spark.read.parquet(f"{sf_dir}/orders.parquet")).withColumn("known", F.array(F.lit("Ján Novák"), F.lit("Mária Kováčová")))
+    return spark.sql(carrier_sql("{orders}", NAME), orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey"))).withColumn("known", F.array(F.lit("Ján Novák"), F.lit("Mária Kováčová")))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
