@@ -1,11 +1,11 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
-Texts of equal shingle sets are one class, so exact copies cost one signature. A forest holds several orders
-of the signatures' values. Classes that share the first DEPTH values of an order form a region of it; where a
-region has more than REGION classes, it goes on to as many further values as it takes, so the depth of a
-region adapts to how crowded it is. Within a region, neighbours in order are compared by their signatures;
-pairs that may reach the threshold are confirmed on whole sets, each set read once for each region that has
-such a pair. Links give components by label propagation with pointer jumping.
+Texts of equal shingle sets are one class, so exact copies cost one signature. Classes that share the first
+DEPTH values of one of several orders of the signatures' values form a region of that order. Within a region,
+classes are compared by their signatures; pairs that may reach the threshold are confirmed on whole sets, each
+set read once for each region that has such a pair. A region of more than REGION classes is compared in tasks
+of bounded size: first at random, which joins most of what belongs together, then all pairs of classes that
+are in two components still, by pairs of blocks. Links give components by label propagation with pointer jumping.
 
 At a similarity of 0.85 a pair shares no first-depth region with probability 7e-6, and is passed over by the
 comparison of signatures with about 1e-6. Shingles and words are told apart by 64-bit hashes.
@@ -29,8 +29,10 @@ WORDS, PERCENT = 5, 85
 ORDERS, DEPTH = 16, 4
 HASHES = ORDERS * DEPTH
 SEED = 97
-#: Classes of a region before it goes deeper; equal signature values that a linked pair has at least.
+#: Classes of a region that one task compares; equal signature values that a linked pair has at least.
 REGION, LEAST_EQUAL = 2048, 40
+#: Random rounds of a crowded region; rows of a block in them, and of the sample of the largest component it meets.
+ROUNDS, BLOCK, SAMPLE = 3, 256, 64
 #: Ids up to this number are sent to every executor (16 MB); beyond it the join shuffles. Bytes of sets in a task.
 BROADCAST_IDS, TASK_BYTES = 2_000_000, 24 << 20
 _MULTIPLIERS = (np.random.default_rng(SEED).integers(1, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -98,41 +100,31 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, key binary, sig binary")
 
 
-def forest(reps: DataFrame) -> DataFrame:
-    """region, size, key: the classes of every region of two and more, none larger than REGION."""
-    orders = F.array(*[F.struct(F.lit(o).alias("o"), F.xxhash64(F.lit(o), F.substring("sig", 1 + 4 * DEPTH * o, 4 * DEPTH)).alias("region")) for o in range(ORDERS)])
-    rows = reps.select("key", F.explode(orders).alias("x")).select("key", "x.o", "x.region")
-    done = None
-    for depth in range(DEPTH, HASHES + 1):
-        sizes = rows.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-        rows = written(rows.join(sizes, "region"), "forest")
-        fits = rows.filter(F.col("size") <= REGION).select("region", "size", "key")
-        done = fits if done is None else done.unionByName(fits)
-        rows = rows.filter(F.col("size") > REGION)
-        if depth == HASHES or rows.isEmpty():
-            break
-        value = F.expr(f"substring(sig, 1 + 4 * ((o * {DEPTH} + {depth}) % {HASHES}), 4)")
-        rows = rows.select("key", "o", "region").join(reps.select("key", "sig"), "key").select("key", "o", F.xxhash64("region", value).alias("region"))
-    # Whole signatures agree: blocks of the region's keys, each with the region's first key.
-    first = rows.groupBy("region").agg(F.min("key").alias("first"), F.max("size").alias("size"))
-    blocks = rows.select("region", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / (REGION / 2))).alias("block")).join(first, "region")
-    blocks = blocks.select(F.xxhash64("region", "block").alias("region"), "size", F.explode(F.array("key", "first")).alias("key")).distinct()
-    return done.unionByName(blocks)
-
-
-def likely(region: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one region, given in its order, whose sizes and signatures leave the threshold in reach; nearest first."""
-    left, right = [], []
+def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """region, key: the classes of every region of two and more; first of those up to REGION, then of the crowded ones."""
+    orders = F.array(*[F.xxhash64(F.lit(o), F.substring("sig", 1 + 4 * DEPTH * o, 4 * DEPTH)) for o in range(ORDERS)])
+    rows = reps.select("key", F.explode(orders).alias("region"))
+    sizes = rows.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
+    rows = written(rows.join(sizes, "region"), "forest")
+    return rows.filter(F.col("size") <= REGION).select("region", "key"), rows.filter(F.col("size") > REGION).select("region", "key")
+
+
+def likely(region: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray, seen: np.ndarray | None = None):
+    """Pairs of rows of one region and two labels, given in its order, whose sizes and signatures leave the threshold in reach; nearest first.
+
+    Labels may change between what it yields. Pairs of two seen rows are passed over.
+    """
     for d in range(1, len(region)):
         i = np.flatnonzero(region[:-d] == region[d:])
         if not len(i):
             break
+        i = i[label[i] != label[i + d]]
+        if seen is not None:
+            i = i[~(seen[i] & seen[i + d])]
         i = i[100 * np.minimum(n[i], n[i + d]) >= PERCENT * np.maximum(n[i], n[i + d])]
         i = i[(sig[i] == sig[i + d]).sum(axis=1) >= LEAST_EQUAL]
-        left.append(i)
-        right.append(i + d)
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(left or none), np.concatenate(right or none)
+        if len(i):
+            yield i, i + d
 
 
 def _signatures(col) -> np.ndarray:
@@ -140,11 +132,13 @@ def _signatures(col) -> np.ndarray:
 
 
 def neighbours(members: DataFrame) -> DataFrame:
-    """region, key, n, sig: the members of a region that have a likely partner there; pairs never become rows."""
+    """region, key, n, sig, label: the members of a region that have a likely partner there; pairs never become rows."""
 
     def compare(t: pa.Table):
-        i, j = likely(t.column("region").to_numpy(), t.column("n").to_numpy(), _signatures(t.column("sig")))
-        return t.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+        seen = np.zeros(len(t), bool)
+        for i, j in likely(t.column("region").to_numpy(), t.column("n").to_numpy(), _signatures(t.column("sig")), t.column("label").to_numpy(), seen):
+            seen[i] = seen[j] = True
+        return t.filter(pa.array(seen)).combine_chunks().to_batches()
 
     def run(batches):
         kept = None
@@ -160,7 +154,7 @@ def neighbours(members: DataFrame) -> DataFrame:
         if kept is not None and len(kept):
             yield from compare(kept)
 
-    return members.select("region", "key", "n", "sig").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(run, "region long, key binary, n long, sig binary")
+    return members.select("region", "key", "n", "sig", "label").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(run, "region long, key binary, n long, sig binary, label long")
 
 
 def confirmed(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
@@ -183,15 +177,15 @@ def confirmed(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
     made = written(texts.select("text").mapInArrow(sets, "key binary, set binary").dropDuplicates(["key"]), "near-sets")
     buckets = max(8, -(-8 * (size or 0) // TASK_BYTES))
     bucket = F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket")
-    held = need.join(made, "key").select(bucket, "region", "key", "n", "sig", "set")
+    held = need.join(made, "key").select(bucket, "region", "key", "n", "sig", "label", "set")
 
     def check(t: pa.Table) -> pa.Table:
         keys, region = t.column("key").to_pylist(), t.column("region").to_numpy()
         sig = _signatures(t.column("sig"))
         order = np.lexsort((sig[:, 0], region))
         s = {k: np.frombuffer(v, np.uint64) for k, v in zip(keys, t.column("set").to_pylist())}
-        i, j = likely(region[order], t.column("n").to_numpy()[order], sig[order])
-        out, up = [], {k: k for k in s}
+        start = np.unique(t.column("label").to_numpy()[order], return_inverse=True)[1]
+        out, up, label = [], np.arange(len(start)), start.copy()
 
         def root(k):
             while up[k] != k:
@@ -199,17 +193,24 @@ def confirmed(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
                 k = up[k]
             return k
 
-        for a, b in zip((keys[x] for x in order[i]), (keys[x] for x in order[j])):
-            p, q = root(a), root(b)
-            if p == q:  # linked already: a further link changes no component
-                continue
-            x, y = s[a], s[b]
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                up[max(p, q)] = min(p, q)
-                out.append((a, b))
+        for i, j in likely(region[order], t.column("n").to_numpy()[order], sig[order], label):
+            found = len(out)
+            for u, v in zip(i.tolist(), j.tolist()):
+                p, q = root(label[u]), root(label[v])
+                if p == q:  # linked already: a further link changes no component
+                    continue
+                a, b = keys[order[u]], keys[order[v]]
+                x, y = s[a], s[b]
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    up[max(p, q)] = min(p, q)
+                    out.append((a, b))
+            if len(out) > found:
+                while (up != up[up]).any():
+                    up = up[up]
+                label[:] = up[start]
         return pa.table([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
     return held.groupBy("bucket").applyInArrow(check, "a binary, b binary")
@@ -229,14 +230,54 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def crossings(docs: DataFrame, reps: DataFrame, crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """links, and those between components that share a crowded region.
+
+    What lies outside a region's largest component is compared in random blocks, each with a sample of that
+    component, for a few rounds. Then every pair of classes of two components is compared, in pairs of blocks;
+    a region of one component has none.
+    """
+    if crowded.isEmpty():
+        return links
+    half = REGION // 2
+    rows = written(crowded.join(reps.select("key", "n", "sig"), "key"), "near-crowded")
+    for turn in range(ROUNDS + 1):
+        named = rows.join(components(links), "key", "left").withColumn("label", F.xxhash64(F.coalesce("label", "key")))
+        counts = named.groupBy("region", "label").agg(F.count("*").alias("m"))
+        main = counts.groupBy("region").agg(F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("size")).filter("x.m < size")
+        main = main.select("region", F.col("x.label").alias("main"), F.col("x.m").alias("m"), F.ceil((F.col("size") - F.col("x.m")) / (BLOCK if turn < ROUNDS else half)).alias("b"))
+        named = written(named.join(main, "region").withColumn("outside", F.col("label") != F.col("main")), "near-named")
+        if named.isEmpty():
+            break
+        dealt = F.xxhash64("key", F.lit(turn))
+        block = F.pmod(dealt, F.col("b"))
+        if turn < ROUNDS:
+            sampled = named.filter("outside").withColumn("task", F.struct(block.alias("i"), F.lit(0).cast("long").alias("j")))
+            sample = named.filter(~F.col("outside") & (F.pmod(dealt, F.greatest(F.floor(F.col("m") / SAMPLE), F.lit(1))) == 0))
+            each = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("b") - 1), lambda i: F.struct(i.alias("i"), F.lit(0).cast("long").alias("j"))))
+            parts = sampled.unionByName(sample.withColumn("task", each))
+        else:  # blocks 0 to b - 1 lie outside the largest component, all further ones in it: block pairs i < j with i < b
+            last = F.col("b") + F.ceil(F.col("m") / half) - 1
+            own = F.when(F.col("outside"), block).otherwise(F.col("b") + F.pmod(dealt, F.ceil(F.col("m") / half)))
+            meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), last).otherwise(F.col("b") - 1))
+            pairs = named.withColumn("own", own).withColumn("meets", meets)
+            pair = F.transform(F.filter("meets", lambda k: k != F.col("own")), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
+            parts = pairs.withColumn("task", F.explode(pair))
+        parts = parts.withColumn("region", F.xxhash64("region", "task.i", "task.j", F.lit(turn)))
+        more = written(confirmed(docs, reps, written(neighbours(parts), "near-need")), "near-links")
+        links = written(links.unionByName(more), "near-links")
+    return links
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = docs.select("doc_id", "text")
     seen = written(profiles(docs), "near-profiles")
     reps = written(seen.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
-    members = forest(reps).join(reps.select("key", "n", "sig"), "key")
+    regions, crowded = forest(reps)
+    members = regions.join(reps.select("key", "n", "sig"), "key").withColumn("label", F.xxhash64("key"))
     links = written(confirmed(docs, reps, written(neighbours(members), "near-need")), "near-links")
-    labels = components(links)
+    labels = components(crossings(docs, reps, crowded, links))
     named = labels.join(reps.select("key", "doc"), "key")
     named = named.join(named.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("key", "component_id")
     classes = reps.select("key", "doc").join(named, "key", "left").select("key", F.coalesce("component_id", "doc").alias("component_id"))

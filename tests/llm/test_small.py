@@ -126,3 +126,11 @@ def test_empty(docs):
     none = docs.limit(0)
     for f in (licenses.scan, mixing.take, near_dup.near_duplicates, packing.pack, token_counts.token_counts, repeats.with_spans, mpeg_audio.encode_texts):
         assert f(none).count() == 0, f
+
+
+def test_near_copies_of_one_template(spark):
+    words = [f"term{i}" for i in range(150)]
+    at = lambda i: (i * 7919) % 150
+    rows = [(i, " ".join(words[: at(i)] + [f"own{i}"] + words[at(i) + 1 :])) for i in range(6000)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("component_id", "kept").collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
