@@ -1,14 +1,15 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
 Texts of equal shingle sets are one class, so exact copies cost one signature. Classes that share the first
-DEPTH values of one of several orders of the signatures' values form a region of that order. Within a region,
+few values of one of several orders of the signatures' values form a region of that order. Within a region,
 classes are compared by their signatures; pairs that may reach the threshold are confirmed on whole sets, each
 set read once for each region that has such a pair. A region of more than REGION classes is compared in tasks
 of bounded size: first at random, which joins most of what belongs together, then all pairs of classes that
 are in two components still, by pairs of blocks. Links give components by label propagation with pointer jumping.
 
-At a similarity of 0.85 a pair shares no first-depth region with probability 7e-6, and is passed over by the
-comparison of signatures with about 1e-6. Shingles and words are told apart by 64-bit hashes.
+The similarity is 0.8 unless told otherwise; op5 takes 0.85. Orders and depth follow from it, so that a pair at
+the threshold shares no region with probability 1e-5 at most, and is passed over by the comparison of signatures
+with 1e-6 at most. Shingles and words are told apart by 64-bit hashes.
 
 Defined cases: null, empty and blank texts have empty sets and stay alone; a text of fewer than five words is
 one shingle; rows of a null id never become a component's name unless all are null; rows that repeat an id
@@ -18,6 +19,8 @@ are documents of their own; an empty table gives no rows; columns other than doc
 from __future__ import annotations
 
 import hashlib
+import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkveil.llm.common import guarded, mix64, range_hashes, small_batches, table, utf8_slices, written
 
-WORDS, PERCENT = 5, 85
-ORDERS, DEPTH = 16, 4
-HASHES = ORDERS * DEPTH
+WORDS, PERCENT = 5, 80
+HASHES = 64
+#: Most that a pair at the threshold may miss: every region; the comparison of signatures.
+NO_REGION, NO_MATCH = 1e-5, 1e-6
 SEED = 97
-#: Classes of a region that one task compares; equal signature values that a linked pair has at least.
-REGION, LEAST_EQUAL = 2048, 40
+#: Classes of a region that one task compares.
+REGION = 2048
 #: Random rounds of a crowded region; rows of a block in them, and of the sample of the largest component it meets.
 ROUNDS, BLOCK, SAMPLE = 3, 256, 64
 #: Ids up to this number are sent to every executor (16 MB); beyond it the join shuffles. Bytes of sets in a task.
@@ -41,6 +45,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+class Plan(NamedTuple):
+    """Orders of the signatures' values, values of a region, equal values that a linked pair has at least."""
+
+    percent: int
+    orders: int
+    depth: int
+    least: int
+
+
+def plan(percent: int) -> Plan:
+    """The deepest regions whose orders fit the signature, at a similarity of percent."""
+    t = percent / 100
+    orders = lambda d: math.ceil(math.log(NO_REGION) / math.log1p(-(t**d)))
+    depth = max(d for d in range(1, HASHES) if orders(d) * d <= HASHES)
+    below, least = 0.0, 0
+    while (below := below + math.comb(HASHES, least) * t**least * (1 - t) ** (HASHES - least)) <= NO_MATCH:
+        least += 1
+    return Plan(percent, orders(depth), depth, least)
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of all texts, sorted within each, and the offsets of the texts in them."""
     n = len(offsets) - 1
@@ -100,16 +124,16 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, key binary, sig binary")
 
 
-def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def forest(reps: DataFrame, p: Plan) -> tuple[DataFrame, DataFrame]:
     """region, key: the classes of every region of two and more; first of those up to REGION, then of the crowded ones."""
-    orders = F.array(*[F.xxhash64(F.lit(o), F.substring("sig", 1 + 4 * DEPTH * o, 4 * DEPTH)) for o in range(ORDERS)])
+    orders = F.array(*[F.xxhash64(F.lit(o), F.substring("sig", 1 + 4 * p.depth * o, 4 * p.depth)) for o in range(p.orders)])
     rows = reps.select("key", F.explode(orders).alias("region"))
     sizes = rows.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
     rows = written(rows.join(sizes, "region"), "forest")
     return rows.filter(F.col("size") <= REGION).select("region", "key"), rows.filter(F.col("size") > REGION).select("region", "key")
 
 
-def likely(region: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray, seen: np.ndarray | None = None):
+def likely(region: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray, plan: Plan, seen: np.ndarray | None = None):
     """Pairs of rows of one region and two labels, given in its order, whose sizes and signatures leave the threshold in reach; nearest first.
 
     Labels may change between what it yields. Pairs of two seen rows are passed over.
@@ -121,8 +145,8 @@ def likely(region: np.ndarray, n: np.ndarray, sig: np.ndarray, label: np.ndarray
         i = i[label[i] != label[i + d]]
         if seen is not None:
             i = i[~(seen[i] & seen[i + d])]
-        i = i[100 * np.minimum(n[i], n[i + d]) >= PERCENT * np.maximum(n[i], n[i + d])]
-        i = i[(sig[i] == sig[i + d]).sum(axis=1) >= LEAST_EQUAL]
+        i = i[100 * np.minimum(n[i], n[i + d]) >= plan.percent * np.maximum(n[i], n[i + d])]
+        i = i[(sig[i] == sig[i + d]).sum(axis=1) >= plan.least]
         if len(i):
             yield i, i + d
 
@@ -131,12 +155,12 @@ def _signatures(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), ">u4").astype(np.uint32).reshape(-1, HASHES)
 
 
-def neighbours(members: DataFrame) -> DataFrame:
+def neighbours(members: DataFrame, plan: Plan) -> DataFrame:
     """region, key, n, sig, label: the members of a region that have a likely partner there; pairs never become rows."""
 
     def compare(t: pa.Table):
         seen = np.zeros(len(t), bool)
-        for i, j in likely(t.column("region").to_numpy(), t.column("n").to_numpy(), _signatures(t.column("sig")), t.column("label").to_numpy(), seen):
+        for i, j in likely(t.column("region").to_numpy(), t.column("n").to_numpy(), _signatures(t.column("sig")), t.column("label").to_numpy(), plan, seen):
             seen[i] = seen[j] = True
         return t.filter(pa.array(seen)).combine_chunks().to_batches()
 
@@ -157,7 +181,7 @@ def neighbours(members: DataFrame) -> DataFrame:
     return members.select("region", "key", "n", "sig", "label").repartition("region").sortWithinPartitions("region", "sig").mapInArrow(run, "region long, key binary, n long, sig binary, label long")
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, reps: DataFrame, need: DataFrame, plan: Plan) -> DataFrame:
     """a, b: of the likely pairs whose sets reach the threshold, links that span all their components in each task."""
     spark = docs.sparkSession
     ids = reps.join(need.select("key").distinct(), "key").select("doc")
@@ -193,7 +217,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
                 k = up[k]
             return k
 
-        for i, j in likely(region[order], t.column("n").to_numpy()[order], sig[order], label):
+        for i, j in likely(region[order], t.column("n").to_numpy()[order], sig[order], label, plan):
             found = len(out)
             for u, v in zip(i.tolist(), j.tolist()):
                 p, q = root(label[u]), root(label[v])
@@ -204,7 +228,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, need: DataFrame) -> DataFrame:
                 if len(x) > len(y):
                     x, y = y, x
                 both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                if 100 * both >= plan.percent * (len(x) + len(y) - both):
                     up[max(p, q)] = min(p, q)
                     out.append((a, b))
             if len(out) > found:
@@ -230,7 +254,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def crossings(docs: DataFrame, reps: DataFrame, crowded: DataFrame, links: DataFrame) -> DataFrame:
+def crossings(docs: DataFrame, reps: DataFrame, crowded: DataFrame, links: DataFrame, plan: Plan) -> DataFrame:
     """links, and those between components that share a crowded region.
 
     What lies outside a region's largest component is compared in random blocks, each with a sample of that
@@ -264,20 +288,21 @@ def crossings(docs: DataFrame, reps: DataFrame, crowded: DataFrame, links: DataF
             pair = F.transform(F.filter("meets", lambda k: k != F.col("own")), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
             parts = pairs.withColumn("task", F.explode(pair))
         parts = parts.withColumn("region", F.xxhash64("region", "task.i", "task.j", F.lit(turn)))
-        more = written(confirmed(docs, reps, written(neighbours(parts), "near-need")), "near-links")
+        more = written(confirmed(docs, reps, written(neighbours(parts, plan), "near-need"), plan), "near-links")
         links = written(links.unionByName(more), "near-links")
     return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    p = plan(percent)
     docs = docs.select("doc_id", "text")
     seen = written(profiles(docs), "near-profiles")
     reps = written(seen.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
-    regions, crowded = forest(reps)
+    regions, crowded = forest(reps, p)
     members = regions.join(reps.select("key", "n", "sig"), "key").withColumn("label", F.xxhash64("key"))
-    links = written(confirmed(docs, reps, written(neighbours(members), "near-need")), "near-links")
-    labels = components(crossings(docs, reps, crowded, links))
+    links = written(confirmed(docs, reps, written(neighbours(members, p), "near-need"), p), "near-links")
+    labels = components(crossings(docs, reps, crowded, links, p))
     named = labels.join(reps.select("key", "doc"), "key")
     named = named.join(named.groupBy("label").agg(F.min("doc").alias("component_id")), "label").select("key", "component_id")
     classes = reps.select("key", "doc").join(named, "key", "left").select("key", F.coalesce("component_id", "doc").alias("component_id"))
@@ -286,14 +311,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text, lang, source, n_chars of the documents that stay."""
-    gone = written(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
+    gone = written(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
     return docs.select("doc_id", "text", "lang", "source", "n_chars").join(guarded(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 QUERIES, ORACLES = {"op5_near_duplicates": op5_near_duplicates}, {}

@@ -134,3 +134,13 @@ def test_near_copies_of_one_template(spark):
     rows = [(i, " ".join(words[: at(i)] + [f"own{i}"] + words[at(i) + 1 :])) for i in range(6000)]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("component_id", "kept").collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_near_duplicates_from_80_percent(spark):
+    # 96 shingles each; two changed words take 5 each: Jaccard 86 / 106
+    base = [f"term{i}" for i in range(100)]
+    other = [*base[:30], "x", *base[31:60], "y", *base[61:]]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other))], "doc_id long, text string")
+    assert near_dup.plan(85)[1:] == (16, 4, 39)
+    assert [r.component_id for r in near_dup.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 1]
+    assert [r.component_id for r in near_dup.near_duplicates(docs, 85).orderBy("doc_id").collect()] == [1, 2]
