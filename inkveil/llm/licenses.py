@@ -1,7 +1,10 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences at line ends and after . ! ? before white space; a sentence is lower-cased and
-every run of other characters than letters and digits becomes one space. Known sentences give identifiers;
+A text is cut into pieces at line ends, after . ! ? before white space, and after the ':' that ends a known
+sentence; a piece is lower-cased and every run of other characters than letters and digits, comment marks
+too, becomes one space. A known sentence is one piece or several lines' pieces in a row, with no blank line
+and no sentence end between them, so wrapped texts count; of two that begin at one place the longer is taken.
+Known sentences give identifiers;
 the identifiers of a document, in order, are matched against ordered rules, each a run of identifiers. The
 first rule of the list that occurs is the document's license; all rules that occur are kept beside it.
 
@@ -81,13 +84,21 @@ NORMAL = {_pieces(s)[-1] if len(_pieces(s)) == 1 else re.sub("[^a-z0-9]+", " ",
 assert len(NORMAL) == len(SENTENCES) and all(any(h in n for h in HINTS) for n in NORMAL)
 
 
+#: Any known sentence, longest first, with a space or one line end between its words, from one cut to another.
+KNOWN = "(?<![^\\n])(?:" + "|".join(n.replace(" ", "[ \\n]") for n in sorted(NORMAL, key=lambda n: (-len(n), n))) + ")(?![^\\n])"
+#: The last words of the known sentences that end in ':'.
+COLON = "|".join(sorted({n.split()[-1] for n, k in NORMAL.items() if SENTENCES[k].endswith(":")}))
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order; null where there is no hint of a license."""
     low = F.lower(text)
-    # "v. 2.0" is no end of a sentence.
-    cut = F.split(F.regexp_replace(F.regexp_replace(low, r"\bv\. (?=\d)", "v "), r"([.!?])\s+", "$1\n"), "\n")
+    # "v. 2.0" is no end of a sentence, wrapped or not. Two line ends are a cut that no sentence spans, one is a line's.
+    cut = F.regexp_replace(F.regexp_replace(low, r"\bv\.\s+(?:[^a-z0-9\s]+\s+)?(?=\d)", "v "), r"[.!?]\s+", "\n\n")
+    cut = F.regexp_replace(cut, rf"\b({COLON}):\s+", "$1\n\n")
+    cut = F.trim(F.regexp_replace(F.regexp_replace(cut, "[^a-z0-9\n]+", " "), " *\n *", "\n"))
     known = F.create_map(*[F.lit(x) for pair in NORMAL.items() for x in pair])
-    ids = F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
+    ids = F.transform(F.regexp_extract_all(cut, F.lit(KNOWN), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     hint = F.contains(low, F.lit(HINTS[0]))
     for h in HINTS[1:]:
         hint = hint | F.contains(low, F.lit(h))

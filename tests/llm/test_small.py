@@ -144,3 +144,24 @@ def test_near_duplicates_from_80_percent(spark):
     assert near_dup.plan(85)[1:] == (16, 4, 39)
     assert [r.component_id for r in near_dup.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 1]
     assert [r.component_id for r in near_dup.near_duplicates(docs, 85).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_wrapped_and_commented_licenses(spark):
+    import textwrap
+
+    s = licenses.SENTENCES
+    wrap = lambda mark, *ids: "\n".join(mark + x for i in ids for x in [*textwrap.wrap(s[i], 72), ""])
+    texts = [
+        (wrap("", "mit-grant", "mit-notice", "mit-warranty"), "MIT"),
+        (wrap(" * ", "gpl3-free", "gpl-warranty"), "GPL-3.0-or-later"),
+        (wrap("# ", "bsd-redistribution") + "# 3. " + wrap("# ", "bsd-endorse")[2:], "BSD-3-Clause"),
+        (wrap("// ", "isc-grant"), "ISC"),
+        (wrap("/* ", "apache-header") + wrap("   ", "apache-disclaimer"), "Apache-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v.\n * 2.0. If", "MPL-2.0"),
+        (" ".join(s[i] for i in ("mit-grant", "mit-notice", "mit-warranty")), "MIT"),
+        ("A heading\nReleased under the MIT License.", "MIT"),
+        ("It is not released under the MIT License.", None),
+        ("Released under\n\nthe MIT License.", None),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert [r.license for r in licenses.scan(rows).orderBy("doc_id").collect()] == [want for _, want in texts]
