@@ -71,9 +71,9 @@ def take(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: each document's whole copies, then its first words where a copy is partial."""
-    t = take(docs).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "size", "taken").distinct()
+    t = take(docs).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), F.col("source").alias("s"), "size", "taken").distinct()
     d = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("h", doc_hash())
-    d = d.join(t, d.doc_id.eqNullSafe(t.i) & (d.h == t.k)).filter(F.col("taken") > 0)
+    d = d.join(t, d.doc_id.eqNullSafe(t.i) & (d.h == t.k) & d.source.eqNullSafe(t.s)).filter(F.col("taken") > 0)
     whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     words = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), 0), 1, part.cast("int")))
     texts = F.concat(F.array_repeat("text", whole.cast("int")), F.when(part > 0, F.array(words)).otherwise(F.array().cast("array<string>")))

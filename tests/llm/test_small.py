@@ -165,3 +165,15 @@ def test_wrapped_and_commented_licenses(spark):
     ]
     rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     assert [r.license for r in licenses.scan(rows).orderBy("doc_id").collect()] == [want for _, want in texts]
+
+
+def test_mixed_keeps_sources_apart(spark):
+    rows = [(1, "a b c d", "en", s, 7) for s in ("p", "q", None)] + [(i, "w " * i, "en", "p", 2 * i) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = collections.Counter()
+    for r in mixing.take(docs).collect():
+        want[r.source] += r.taken
+    got = collections.Counter()
+    for r in mixing.mixed(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert +got == +want
