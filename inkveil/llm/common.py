@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of one Arrow batch; a batch of very long texts stays within the second.
-BATCH_ROWS, BATCH_BYTES = 250, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 2 << 20
 U64 = np.uint64
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,45 +24,101 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches bounded in rows and in bytes, so that a Python worker's memory doesn't follow text length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Arrow batches bounded in rows and in bytes, so that a Python worker's memory doesn't follow text length.
+
+    Results that Spark computes only when they are read need it then, so it stays set in the session.
+    """
+    spark.conf.set(_ROWS, BATCH_ROWS)
+    spark.conf.set(_BYTES, BATCH_BYTES)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values) -> Iterator[None]:
+    """Session settings for what runs inside, as they were before afterwards; names with _ for the dots."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def one_row_batches(spark: SparkSession):
+    """Rows that are blocks by themselves go to Python one at a time."""
+    return settings(spark, **{_ROWS.replace(".", "__"): 1})
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset: one of our own if all is one process, as in tests; on a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='inkveil-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    Shuffle files go as soon as the table is there, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkveil/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
+def drop_written(*dfs: DataFrame) -> None:
     """Delete what written() wrote, once nothing lazy depends on it."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/inkveil/" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+    for df in dfs:
+        path = getattr(df, "written_at", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def trimmed(run: Callable) -> Callable:
+    """run, for mapInArrow; when its task is over, the worker, which lives on, gives free memory back."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Give free memory of this process back to the system, and large tables of powers."""
+    if _powers and len(_powers[0]) > _KEPT:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
-#: Rows up to which a table of keys and short lists is sent to every executor.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table of keys and short lists is sent to every executor, by a generous width of a row.
+BROADCAST_BYTES = 24 << 20
 
 
-def guarded(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is counted and found small; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def guarded(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """df, to be broadcast if it is counted and found small; else the join shuffles. row_bytes: of the widest row."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def text_or_empty(name: str = "text"):
@@ -90,12 +150,13 @@ def mix64(h: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
+_KEPT = 1 << 20  # entries that a worker keeps between tasks
 
 
 def _tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, for n bytes at least; grown by doubling and kept."""
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(_KEPT, 1 << (n - 1).bit_length())
         out = []
         for base in (_BASE, _INVERSE):
             p = np.full(size, base, U64)
