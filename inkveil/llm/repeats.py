@@ -1,117 +1,181 @@
-"""Exact repeats: every byte that a 400-byte string covers which also starts elsewhere.
+"""Exact repeats: every byte that a 400-byte string covers which also starts elsewhere, and passages of over 50 words that other documents hold.
 
-Winnowing gives each 400-byte string an anchor that depends on the string alone: the rightmost least hash of
-its first FIRST positions. An anchor whose following CONTEXT bytes occur once can't belong to a repeated
-string, so only strings at the other anchors are looked at, whole: their hashes are dealt by value over
-buckets, counted there, and each chunk of documents gets back one bit for each of its strings.
+Both are one search over strings of a fixed number of units, which are bytes or words. Winnowing gives each
+string an anchor that depends on the string alone: the rightmost least hash of its first positions. An anchor
+whose following context occurs once can't belong to a repeated string, so only strings at the other anchors are
+looked at, whole: their hashes are dealt by value over buckets, sorted and counted there next to their equals,
+and each chunk of documents gets back one bit for each of its strings. Rows of equal texts are one text with a
+number of copies, which is searched once; what a batch holds of one context is one row.
 
-Sorting suffixes by a difference cover as such is not done: see README.
+The operator is not a difference-cover sort: see README, and suffixes.py for that method and its figures.
 
-Strings are told apart by 64-bit hashes of all their bytes, texts by 64-bit hashes and lengths.
+Strings are told apart by 64-bit hashes of all their units, texts by 64-bit hashes and lengths.
 
 Defined cases: null text is empty; texts shorter than the length lose nothing; rows of equal texts, also of
-one id, are documents of their own and so repeat each other; a cut inside a character keeps the bytes that
-are left; an empty table gives no rows; columns other than doc_id and text are ignored.
+one id, are documents of their own and so repeat each other; a very long text is searched in stretches, within
+one task; a cut inside a character keeps the bytes that are left; an empty table gives no rows; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import guarded, mix64, range_hashes, small_batches, table, utf8_slices, written
-
-LENGTH, FIRST, GRAM = 400, 192, 8
-#: Bytes after an anchor that every string with this anchor holds.
-CONTEXT = LENGTH - FIRST
-#: Bytes of one counting task, and rows of a chunk.
-TASK_BYTES, CHUNK_ROWS = 16 << 20, 1000
-_PLACE = 24  # low bits that hold a position, to choose among equal hashes
-
-
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The starts of all strings of this length within a text, and the anchor of each."""
-    n = len(raw)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = np.zeros(n - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        grams |= raw[k : n - GRAM + 1 + k].astype(np.uint64) << np.uint64(8 * k)
+from inkveil.llm.common import BROADCAST_BYTES, drop_written, mix64, one_row_batches, range_hashes, small_batches, table, trimmed, utf8_slices, written
+
+
+class Unit(NamedTuple):
+    """Whether strings are of words or bytes, their length, the positions that an anchor is chosen among, units hashed for
+    that, and whether a string counts that its own document alone repeats."""
+
+    words: bool
+    length: int
+    first: int
+    gram: int
+    inside: bool
+
+    @property
+    def context(self) -> int:
+        """Units after an anchor that every string with this anchor holds."""
+        return self.length - self.first
+
+
+BYTES, PASSAGES = Unit(False, 400, 192, 8, True), Unit(True, 51, 26, 3, False)
+#: Bytes of one counting task, and rows of a chunk; positions of a stretch.
+TASK_BYTES, CHUNK_ROWS, STRETCH = 16 << 20, 1000, 1 << 21
+_PLACE = 24  # low bits that hold a position within a stretch, to choose among equal hashes
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+
+
+def symbols(raw: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of all texts, the texts' offsets in them, and the first byte of each unit and the byte after it."""
+    if not unit.words:
+        at = np.arange(len(raw))
+        return raw, offsets, at, at + 1
+    inside = np.concatenate([~_SPACE[raw], [False]])
+    first = np.zeros(len(raw) + 1, bool)
+    first[offsets] = True
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] | first[1:]
+    at = np.flatnonzero(begin[:-1])
+    edges = np.flatnonzero(~inside | first)
+    to = edges[np.searchsorted(edges, at, side="right")]
+    return range_hashes(raw, at, to), np.searchsorted(at, offsets), at, to
+
+
+def _leasts(sym: np.ndarray, unit: Unit) -> np.ndarray:
+    """For each position the one, of those from it on among which an anchor is chosen, of the rightmost least hash."""
+    n = len(sym) - unit.gram + 1
+    grams = np.zeros(n, np.uint64)
+    for k in range(unit.gram):
+        x = sym[k : n + k].astype(np.uint64)
+        grams = mix64(grams) + x if unit.words else grams | x << np.uint64(8 * k)
     low = np.uint64((1 << _PLACE) - 1)
-    places = np.arange(len(grams), dtype=np.uint64) & low
-    least = (mix64(grams) & ~low) | (low - places)
+    least = (mix64(grams) & ~low) | (low - np.arange(n, dtype=np.uint64))
     width = 1
-    while 2 * width <= FIRST:
+    while 2 * width <= unit.first:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if width < FIRST:
-        least = np.minimum(least[: len(least) - (FIRST - width)], least[FIRST - width :])
-    size = np.maximum(np.diff(offsets) - length + 1, 0)
+    if width < unit.first:
+        least = np.minimum(least[: len(least) - (unit.first - width)], least[unit.first - width :])
+    return (low - (least & low)).astype(np.int64)
+
+
+def anchors(sym: np.ndarray, offsets: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all strings within a text, and the anchor of each."""
+    size = np.maximum(np.diff(offsets) - unit.length + 1, 0)
     starts = np.repeat(offsets[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    place = low - (least[starts] & low)
-    return starts, starts + ((place.astype(np.int64) - starts) & int(low))
+    out = np.empty_like(starts)
+    for x in range(0, len(sym), STRETCH):
+        i, j = np.searchsorted(starts, [x, x + STRETCH])
+        if i < j:
+            out[i:j] = x + _leasts(sym[x : x + STRETCH + unit.first + unit.gram], unit)[starts[i:j] - x]
+    return starts, out
 
 
 def text_key(df: DataFrame) -> DataFrame:
     return df.select("*", F.xxhash64("text").alias("k"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-def suspects(texts: DataFrame) -> DataFrame:
-    """k, n_bytes, at: the anchors, by text, whose contexts occur more than once."""
+def suspects(texts: DataFrame, unit: Unit) -> DataFrame:
+    """k, n_bytes, at, doc, copies: by text the anchors whose contexts occur more than once; doc: one of the text's ids."""
     small_batches(texts.sparkSession)
+    names = ["h", "c", "k", "n_bytes", "doc", "m", "at"]
 
     def run(batches):
         for b in batches:
-            raw, offsets = utf8_slices(b.column(2))
-            at = np.unique(anchors(raw, offsets)[1])
+            _, which, m = np.unique(np.stack([b.column(i).to_numpy() for i in (0, 1)], 1), axis=0, return_index=True, return_counts=True)
+            b = b.take(pa.array(which))
+            sym, offsets, _, _ = symbols(*utf8_slices(b.column(3)), unit)
+            at = np.unique(anchors(sym, offsets, unit)[1])
+            h = range_hashes(sym, at, at + unit.context).view(np.int64)
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], at[order]
             of = np.searchsorted(offsets, at, side="right") - 1
-            h = range_hashes(raw, at, at + CONTEXT).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array((at - offsets[of]).astype(np.int32))], ["h", "k", "n_bytes", "at"])
-
-    rows = written(texts.filter(F.col("n_bytes") >= LENGTH).select("k", "n_bytes", "text").mapInArrow(run, "h long, k long, n_bytes long, at int"), "repeat-anchors")
-    often = rows.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    return rows.join(often, "h").groupBy("k", "n_bytes").agg(F.collect_set("at").alias("at"))
-
-
-def _strings(raw: np.ndarray, offsets: np.ndarray, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            cuts = pa.array(np.append(new, len(h)).astype(np.int32))
+            lists = [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), b.column(2).take(pa.array(of)), pa.array(m[of].astype(np.int32)), pa.array((at - offsets[of]).astype(np.int32))]
+            c = np.add.reduceat(m[of], new) if len(new) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(np.minimum(c, 2).astype(np.int32)), *[pa.ListArray.from_arrays(cuts, x) for x in lists]], names)
+
+    long_enough = texts.filter(F.col("n_bytes") >= unit.length * (1 + unit.words) - unit.words)
+    rows = written(long_enough.select("k", "n_bytes", "doc_id", "text").mapInArrow(trimmed(run), "h long, c int, k array<long>, n_bytes array<long>, doc array<long>, m array<int>, at array<int>"), "repeat-anchors")
+    often = rows.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").select("h")
+    each = rows.join(often, "h").select(F.explode(F.arrays_zip("k", "n_bytes", "doc", "m", "at")).alias("x")).select("x.*")
+    found = each.groupBy("k", "n_bytes").agg(F.collect_set("at").alias("at"), F.min("doc").alias("doc"), F.sum("m").alias("m"))
+    found = written(found.select("k", "n_bytes", "at", "doc", (F.col("m") / F.size("at")).cast("long").alias("copies")), "repeat-suspects")
+    drop_written(rows)
+    return found
+
+
+def _strings(sym: np.ndarray, offsets: np.ndarray, at: list[np.ndarray], unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     """Starts, and hashes, of the strings that have one of the given anchors."""
-    starts, anchor = anchors(raw, offsets)
-    wanted = np.zeros(len(raw) + 1, bool)
+    starts, anchor = anchors(sym, offsets, unit)
+    wanted = np.zeros(len(sym) + 1, bool)
     for o, a in zip(offsets[:-1], at):
         wanted[o + a] = True
     starts = starts[wanted[anchor]]
-    return starts, range_hashes(raw, starts, starts + LENGTH)
+    return starts, range_hashes(sym, starts, starts + unit.length)
 
 
-def _chunk(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _chunk(row: dict, unit: Unit):
+    """units, offsets, first and last bytes, and anchors of a chunk; offsets of the texts' bytes."""
     raw = np.frombuffer(b"".join(row["texts"]), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in row["texts"]])]).astype(np.int64)
-    return raw, offsets, [np.array(a, np.int64) for a in row["at"]]
+    return *symbols(raw, offsets, unit), [np.array(a, np.int64) for a in row["at"]], offsets
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """k, n_bytes, starts, ends: the maximal removed runs of each text that has any."""
+def light(df: DataFrame, lists: str, width: int) -> DataFrame:
+    """df, to be broadcast if its lists, of entries of width bytes, are small by their sum; else the join shuffles."""
+    rows, entries = df.agg(F.count("*"), F.sum(F.size(lists))).first()
+    return F.broadcast(df) if 64 * rows + width * (entries or 0) <= BROADCAST_BYTES else df
+
+
+def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """k, n_bytes, starts, ends, written: the maximal repeated runs, in bytes, of each text that has any."""
     spark = docs.sparkSession
-    texts = text_key(docs.select(F.coalesce("text", F.lit("")).alias("text")))
-    found = written(suspects(texts), "repeat-suspects")
-    small_batches(spark)
+    texts = text_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    found = suspects(texts, unit)
 
     def gather(batches):
         part, no, rows, size = TaskContext.get().partitionId(), 0, [], 0
-        names = ["chunk", "ks", "texts", "at"]
+        names = ["chunk", "ks", "copies", "texts", "at"]
 
         def flush():
-            ks, raw, at = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | no], pa.int64()), pa.array([list(ks)], pa.list_(pa.int64())), pa.array([list(raw)], pa.list_(pa.binary())), pa.array([list(at)], pa.list_(pa.list_(pa.int32())))], names)
+            ks, copies, raw, at = zip(*rows)
+            cells = [(ks, pa.int64()), (copies, pa.int64()), (raw, pa.binary()), (at, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | no], pa.int64()), *[pa.array([list(x)], pa.list_(t)) for x, t in cells]], names)
 
         for b in batches:
-            for k, t, at in zip(*(c.to_pylist() for c in b.columns)):
+            for k, copies, t, at in zip(*(c.to_pylist() for c in b.columns)):
                 raw = t.encode()
-                rows.append((k, raw, at))
+                rows.append((k, copies, raw, at))
                 size += len(raw)
                 if len(rows) >= CHUNK_ROWS or size >= TASK_BYTES // 4:
                     yield flush()
@@ -119,11 +183,11 @@ def spans(docs: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    joined = texts.join(guarded(found), ["k", "n_bytes"]).select("k", "text", "at")
-    chunks = written(joined.mapInArrow(gather, "chunk long, ks array<long>, texts array<binary>, at array<array<int>>"), "repeat-chunks")
+    joined = texts.join(light(found, "at", 4), ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc"))).select("k", "copies", "text", "at")
+    chunks = written(joined.mapInArrow(trimmed(gather), "chunk long, ks array<long>, copies array<long>, texts array<binary>, at array<array<int>>"), "repeat-chunks")
     total = found.agg(F.sum("n_bytes")).first()[0] or 0
+    drop_written(found)
     buckets = max(16, -(-8 * total // TASK_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
 
     def bucket_of(h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -131,7 +195,14 @@ def spans(docs: DataFrame) -> DataFrame:
     def deal(batches):
         for b in batches:
             for row in b.to_pylist():
-                h, c = np.unique(_strings(*_chunk(row))[1], return_counts=True)
+                sym, offsets, _, _, at, _ = _chunk(row, unit)
+                starts, h = _strings(sym, offsets, at, unit)
+                if not unit.inside:  # once a text
+                    of = np.searchsorted(offsets, starts, side="right")
+                    order = np.lexsort((of, h))
+                    h, of = h[order], of[order]
+                    h = h[np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))] if len(h) else h
+                h, c = np.unique(h, return_counts=True)
                 if len(h):
                     h, c = np.repeat(h, np.minimum(c, 2)), None  # twice if it is there twice
                     ends = np.searchsorted(bucket_of(h), np.arange(buckets), side="right")
@@ -141,8 +212,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
     def count(t: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        h, c = np.unique(np.concatenate(blobs), return_counts=True)
-        h = h[c > 1]
+        h = np.sort(np.concatenate(blobs))
+        h = np.unique(h[1:][h[1:] == h[:-1]])
         bits = []
         for x in blobs:
             u = np.unique(x)
@@ -150,83 +221,101 @@ def spans(docs: DataFrame) -> DataFrame:
             bits.append(np.packbits(h[i] == u if len(h) else np.zeros(len(u), bool)).tobytes())
         return pa.table([t.column("chunk"), t.column("bucket"), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
 
-    told = chunks.mapInArrow(deal, "chunk long, bucket long, hashes binary").groupBy("bucket").applyInArrow(count, "chunk long, bucket long, bits binary")
-    told = written(told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("told")), "repeat-told")
-
     def cover(batches):
         for b in batches:
             for row in b.to_pylist():
-                raw, offsets, at = _chunk(row)
-                starts, h = _strings(raw, offsets, at)
+                sym, offsets, begins, ends, at, edges = _chunk(row, unit)
+                starts, h = _strings(sym, offsets, at, unit)
                 order = np.argsort(h)
                 new = np.ones(len(h), bool)
                 new[1:] = h[order[1:]] != h[order[:-1]]
                 u = h[order[new]]
                 again = np.zeros(len(u), bool)
                 cuts = np.searchsorted(bucket_of(u), np.arange(buckets + 1))
-                for x in row["told"]:
+                for x in row["told"] or ():
                     i, j = cuts[x["bucket"]], cuts[x["bucket"] + 1]
                     again[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i)
                 hit = np.empty(len(h), bool)
                 hit[order] = again[np.cumsum(new) - 1]
+                hit |= np.array(row["copies"])[np.searchsorted(offsets, starts, side="right") - 1] > 1
                 s = starts[hit]
                 first = np.ones(len(s), bool)
                 text = np.searchsorted(offsets, s, side="right") - 1
-                first[1:] = (s[1:] > s[:-1] + LENGTH) | (text[1:] != text[:-1])
+                first[1:] = (s[1:] > s[:-1] + unit.length) | (text[1:] != text[:-1])
                 i = np.flatnonzero(first)
-                begin, end, text = s[i], s[np.append(i[1:], len(s)) - 1] + LENGTH if len(s) else s, text[i]
+                last = s[np.append(i[1:], len(s)) - 1] + unit.length - 1 if len(s) else s
+                begin, end, text = begins[s[i]], ends[last], text[i]
                 cut = np.searchsorted(text, np.arange(len(offsets)))
-                rows = [(row["ks"][d], int(offsets[d + 1] - offsets[d]), begin[x:y] - offsets[d], end[x:y] - offsets[d]) for d, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+                rows = [(row["ks"][d], int(edges[d + 1] - edges[d]), begin[x:y] - edges[d], end[x:y] - edges[d]) for d, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
                 cols = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array([x.astype(np.int32) for x in c], pa.list_(pa.int32())) for c in cols[2:]]], ["k", "n_bytes", "starts", "ends"])
 
-    out = chunks.join(told, "chunk").mapInArrow(cover, "k long, n_bytes long, starts array<int>, ends array<int>")
-    out = written(out, "repeat-spans").dropDuplicates(["k", "n_bytes"])
-    small_batches(spark)
+    with one_row_batches(spark):
+        told = chunks.mapInArrow(trimmed(deal), "chunk long, bucket long, hashes binary").groupBy("bucket").applyInArrow(count, "chunk long, bucket long, bits binary")
+        told = written(told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("told")), "repeat-told")
+        out = chunks.join(told, "chunk", "left").mapInArrow(trimmed(cover), "k long, n_bytes long, starts array<int>, ends array<int>")
+        out = written(out.dropDuplicates(["k", "n_bytes"]), "repeat-spans")
+    drop_written(chunks, told)
+    return out
+
+
+def merged(starts: list[int] | None, ends: list[int] | None) -> list[tuple[int, int]]:
+    """Runs in order, overlapping and touching ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(zip(starts or (), ends or ())):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
     return out
 
 
-def keep(raw: bytes, starts: list[int] | None, ends: list[int] | None) -> bytes:
-    if not starts:
-        return raw
+def keep(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     at, out = 0, []
-    for s, e in zip(starts, ends):
+    for s, e in runs:
         out.append(raw[at:s])
         at = e
-    return b"".join([*out, raw[at:]])
+    return b"".join([*out, raw[at:]]) if runs else raw
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs, null texts as empty, with starts and ends of what goes; null where nothing does."""
-    docs = docs.drop("k", "n_bytes", "starts", "ends")  # columns of our own names
+    """docs, null texts as empty, with starts and ends of what goes, and p_starts and p_ends of passages; null where there are none."""
+    docs = docs.drop("k", "n_bytes", "starts", "ends", "p_starts", "p_ends")  # columns of our own names
     d = text_key(docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    return d.join(guarded(spans(docs)), ["k", "n_bytes"], "left")
+    d = d.join(light(spans(docs), "starts", 8), ["k", "n_bytes"], "left")
+    passages = spans(docs, PASSAGES).withColumnsRenamed({"starts": "p_starts", "ends": "p_ends"})
+    return d.join(light(passages, "p_starts", 8), ["k", "n_bytes"], "left")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text, lang, source, n_chars with the repeats cut out; what a cut leaves of a character goes, too."""
+    """doc_id, text, lang, source, n_chars with the repeats and the passages cut out; what a cut leaves of a character goes, too."""
 
     def run(batches):
         for b in batches:
-            text, starts, ends = (b.column(i).to_pylist() for i in (1, 5, 6))
-            kept = [t if not s else keep(t.encode(), s, e).decode("utf-8", "ignore") for t, s, e in zip(text, starts, ends)]
+            text, *lists = (b.column(i).to_pylist() for i in (1, 4, 5, 6, 7))
+            kept = [t if not s and not ps else keep(t.encode(), merged([*(s or ()), *(ps or ())], [*(e or ()), *(pe or ())])).decode("utf-8", "ignore") for t, s, e, ps, pe in zip(text, *lists)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), b.column(2), b.column(3), pa.array([len(t) for t in kept], pa.int64())], ["doc_id", "text", "lang", "source", "n_chars"])
 
-    d = with_spans(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "text", "lang", "source", F.lit(0).alias("z"), "starts", "ends")
-    return d.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    d = with_spans(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "text", "lang", "source", "starts", "ends", "p_starts", "p_ends")
+    return d.mapInArrow(trimmed(run), "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns; beside them n_passage_bytes, bytes of passages of over 50 words that other documents hold, of whatever length in bytes."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+
     def run(batches):
         for b in batches:
-            i, text, starts, ends = (c.to_pylist() for c in b.columns)
+            i, text, starts, ends, p_starts, p_ends = (c.to_pylist() for c in b.columns)
             raw = [t.encode() for t in text]
-            kept = [keep(*x) for x in zip(raw, starts, ends)]
-            cols = [[len(r) for r in raw], [len(r) - len(k) for r, k in zip(raw, kept)], [len(s or ()) for s in starts]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols], pa.array([hashlib.sha256(k).hexdigest() for k in kept])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    docs = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "starts", "ends")
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+            runs = [merged(s, e) for s, e in zip(starts, ends)]
+            kept = [keep(*x) for x in zip(raw, runs)]
+            passages = [sum(e - s for s, e in merged(s, e)) for s, e in zip(p_starts, p_ends)]
+            cols = [[len(r) for r in raw], [len(r) - len(k) for r, k in zip(raw, kept)], [len(s) for s in runs], [hashlib.sha256(k).hexdigest() for k in kept], passages]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names[1:], cols)]], names)
+
+    docs = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "starts", "ends", "p_starts", "p_ends")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
 QUERIES, ORACLES = {"op6_repeats": op6_repeats}, {}

@@ -29,10 +29,29 @@ def test_repeats(docs):
             if c[b[s : s + 400]] > 1:
                 m[s : s + 400] = b"\1" * 400
         want.append(hashlib.sha256(bytes(x for x, y in zip(b, m) if not y)).hexdigest())
-    got = [hashlib.sha256(repeats.keep((r.text or "").encode(), r.starts, r.ends)).hexdigest() for r in repeats.with_spans(docs).collect()]
+    got = [hashlib.sha256(repeats.keep((r.text or "").encode(), repeats.merged(r.starts, r.ends))).hexdigest() for r in repeats.with_spans(docs).collect()]
     assert sorted(got) == sorted(want)
 
 
+def test_passages(spark):
+    """Passages of over 50 words against every window of 51, by documents."""
+    shared = " ".join(f"w{i % 7}{i}" for i in range(51))
+    texts = [f"a b {shared} c", f"{shared}\n\nd", shared.replace(" ", "\t"), " ".join(f"w{i % 7}{i}" for i in range(50)), " ".join(["x"] * 200), f"q {shared} r {shared}", None, "", "twice " * 60, "twice " * 60]
+    words = [(t or "").split() for t in texts]
+    held = collections.Counter(w for ws in words for w in {tuple(ws[s : s + 51]) for s in range(len(ws) - 50)})
+    want = []
+    for ws in words:
+        m = [False] * len(ws)
+        for s in range(len(ws) - 50):
+            if held[tuple(ws[s : s + 51])] > 1:
+                m[s : s + 51] = [True] * 51
+        want.append("".join(w for w, x in zip(ws, m) if not x))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sorted(repeats.with_spans(docs).collect(), key=lambda r: r.doc_id)
+    assert ["".join(repeats.keep(r.text.encode(), repeats.merged(r.p_starts, r.p_ends)).decode().split()) for r in rows] == want
+    assert want[4] != "" and want[0] == "abc" and want[8] == ""
+
+
 def test_near_duplicates(docs):
     got = {r.doc_id: r for r in near_dup.near_duplicates(docs).collect() if r.doc_id is not None}
     assert [got[i].component_id for i in range(11)] == [0, 0, 0, 0, 4, 5, 6, 6, 8, 9, 10]
