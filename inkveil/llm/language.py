@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import small_batches, table, utf8_slices, written
+from inkveil.llm.common import small_batches, table, trimmed, utf8_slices, written
 
 #: Trigram classes; documents learnt from (a bound, spread over the table by hash); weight of a dependent
 #: trigram against an independent one, and the most trigrams that a text may count for.
@@ -60,7 +60,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
             i = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i)), pa.array(i.astype(np.int32)), pa.array(s[i].astype(np.int64))], ["lang", "i", "n"])
 
-    rows = known.select("lang", "text").mapInArrow(run, "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n"))
+    rows = known.select("lang", "text").mapInArrow(trimmed(run), "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n"))
     got = rows.groupBy("lang").agg(F.collect_list("i").alias("i"), F.collect_list("n").alias("n")).collect()
     langs = sorted(r.lang for r in got)
     counts = np.full((len(langs), CLASSES), 0.1)
@@ -104,7 +104,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(5)], pa.array(best), rows, *[pa.array(post[:, i]) for i in range(k)]], names)
 
     schema = "page_id long, host string, domain string, suffix string, declared string, text_lang string, evidence array<double>, " + ", ".join(f"p{i} double" for i in range(k))
-    first = written(seen.mapInArrow(run, schema), "lang-first")
+    first = written(seen.mapInArrow(trimmed(run), schema), "lang-first")
     sums = lambda tag: [F.sum(f"p{i}").alias(f"{tag}{i}") for i in range(k)]
     arr = lambda tag: F.array(*[F.col(f"{tag}{i}") for i in range(k)])
     whole = first.agg(*sums("s")).first()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import small_batches, table
+from inkveil.llm.common import small_batches, table, trimmed
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s of Layer III, and sampling rates, by header fields.
 KBPS_V1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -212,7 +212,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
             media = [encode(padded((t or "").encode())) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, media binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, media binary")
 
 
 def probe(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
@@ -227,7 +227,7 @@ def probe(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataF
             kinds = (pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds)], *tail], [key, "seconds", "samples", "hertz", "frames", "bad_checks", "skipped", "tags", "toc", "offsets"])
 
-    return media.select(key, column).mapInArrow(run, schema)
+    return media.select(key, column).mapInArrow(trimmed(run), schema)
 
 
 def digest_row(text: str | None) -> tuple:
@@ -251,7 +251,7 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(rows, kinds)]], ["doc_id", *names])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 QUERIES, ORACLES = {"op8_mpeg_audio": op8_mpeg_audio}, {}

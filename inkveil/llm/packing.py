@@ -1,14 +1,16 @@
 """Packing token sequences: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
 A document's ids and the end id are cut at multiples of the sequence length; what is left over is shorter
-than a sequence. Documents are dealt by hash to groups of bounded size; in each group the pieces go, largest
-first, each to the first open sequence that has room. A tree whose inner nodes hold the larger of their two
-children's room finds that sequence in logarithmic time.
+than a sequence. Documents are dealt by a hash of their id and text to groups of bounded size on average; in each
+group the pieces go, largest first, each to the first open sequence that has room. A tree whose inner nodes hold
+the larger of their two children's room finds that sequence in logarithmic time.
 
 Ids never leave the worker that made them: a piece's checksum is taken there, and only lengths are shuffled.
 
 Defined cases: null or empty text is a document of the end id alone; rows that repeat an id are documents of
-their own; an empty table gives no rows; columns other than doc_id and text are ignored.
+their own, and rows that repeat id and text share a group, where equal pieces are placed one after another; a very
+long text is cut into whole sequences and a rest; an empty table gives no rows; columns other than doc_id and text
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import range_hashes, small_batches, table
+from inkveil.llm.common import range_hashes, small_batches, table, trimmed
 
 LENGTH, END_ID = 4096, 2
 #: Documents and text bytes of a group, on average: some thousands of sequences, a few MB in a task.
 GROUP_ROWS, GROUP_BYTES = 8192, 64 << 20
 #: Entries of word parts that a worker keeps, twice over; one batch may add to them.
-MAX_PARTS = 500_000
+MAX_PARTS = 150_000
 
 
 class WordIds:
@@ -80,7 +82,8 @@ class WordIds:
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             raw = ids.tobytes()
             out += [raw[x:y] for x, y in zip(cuts, cuts[1:])]
-            assert len(out) == i + len(some)
+            if len(out) != i + len(some):
+                raise ValueError(f"the tokenizer's pieces of {len(some)} parts end {len(out) - i} times")
         return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -167,9 +170,9 @@ _WORDS: dict[str, WordIds] = {}
 
 
 def pieces(docs: DataFrame, path: str | None, length: int, end_id: int) -> DataFrame:
-    """doc_id, n (a row's place in its batch), start, length, ids_crc32, doc_tokens of every piece."""
+    """doc_id, h (of its text), start, length, ids_crc32, doc_tokens of every piece."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "n", "start", "length", "ids_crc32", "doc_tokens"]
+    names = ["doc_id", "h", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches):
         import public_tokenizers
@@ -179,17 +182,18 @@ def pieces(docs: DataFrame, path: str | None, length: int, end_id: int) -> DataF
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[list] = [[] for _ in names]
-            texts = words.batch([t or "" for t in b.column(1).to_pylist()])
-            for n, (i, t) in enumerate(zip(b.column(0).to_pylist(), texts)):
+            texts = words.batch(b.column(2).to_pylist())
+            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts):
                 ids = memoryview(t + end)
                 total = len(ids) // 4
                 for s in range(0, total, length):
                     x = ids[4 * s : 4 * (s + length)]
-                    for c, v in zip(out, (i, n, s, len(x) // 4, zlib.crc32(x), total)):
+                    for c, v in zip(out, (i, h, s, len(x) // 4, zlib.crc32(x), total)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(trimmed(run), ", ".join(f"{n} long" for n in names))
 
 
 class Tournament:
@@ -229,13 +233,13 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups = max(1, -(-rows // GROUP_ROWS), -(-(size or 0) // GROUP_BYTES))
-    dealt = pieces(docs, path, length, end_id).withColumn("group", F.pmod(F.xxhash64("doc_id", "n", "doc_tokens", "ids_crc32"), F.lit(groups)))
+    dealt = pieces(docs, path, length, end_id).withColumn("group", F.pmod(F.xxhash64("doc_id", "h"), F.lit(groups)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(t: pa.Table) -> pa.Table:
-        col = {c: t.column(c).to_numpy() for c in ("start", "length", "ids_crc32", "doc_tokens", "n", "group")}
+        col = {c: t.column(c).to_numpy() for c in ("start", "length", "ids_crc32", "doc_tokens", "h", "group")}
         ids = t.column("doc_id")
-        order = np.lexsort((col["ids_crc32"], col["start"], col["n"], ids.fill_null(-1).to_numpy(), -col["length"]))
+        order = np.lexsort((col["ids_crc32"], col["start"], col["h"], ids.fill_null(-1).to_numpy(), -col["length"]))
         bins, offsets = first_fit_decreasing(col["length"][order], length)
         cols = [ids.take(pa.array(order)), *[pa.array(col[c][order]) for c in names[1:5]], pa.array((col["group"][:1] << 32) + bins), pa.array(offsets)]
         return pa.table(cols, names)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import guarded, mix64, range_hashes, small_batches, table, utf8_slices, written
+from inkveil.llm.common import guarded, mix64, range_hashes, small_batches, table, trimmed, utf8_slices, written
 
 FOLDS, THRESHOLD = 5, 0.3
 #: Weight of the pooled covariance in a class's own, and of the diagonal added to it.
@@ -98,7 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["doc_id", "held_out", "x"])
 
     held = F.coalesce(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
+    return docs.select("doc_id", held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(trimmed(run), "doc_id long, held_out boolean, x array<double>")
 
 
 def moments(rows: DataFrame, d: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -116,7 +116,7 @@ def moments(rows: DataFrame, d: int) -> dict[int, tuple[float, np.ndarray, np.nd
             k = m.size
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, c, np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(m.ravel())], ["label", "i", "v"])
 
-    got = rows.mapInArrow(run, "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect()
+    got = rows.mapInArrow(trimmed(run), "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect()
     out = {}
     for c in {r.label for r in got}:
         m = np.zeros((d + 1) ** 2)
@@ -166,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.scores(b.column(2).flatten().to_numpy().reshape(-1, d))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return x.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return x.mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
@@ -187,7 +187,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = model.scores(statistics(*utf8_slices(b.column(1)))) >= THRESHOLD
             yield b.filter(pa.array(good))
 
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(trimmed(run), "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.llm.common import small_batches, table
+from inkveil.llm.common import small_batches, table, trimmed
 
 LIMIT = 4096
 #: Characters of a chunk; bounds of the tables that one Python worker keeps, which are emptied when full.
@@ -247,7 +247,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             gc.enable()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
