@@ -1,13 +1,15 @@
-"""The corpus pipeline: five stages, each over all that the one before it kept, written and read between stages."""
+"""The corpus pipeline: five stages, each over all that the one before it kept, written and read between stages.
 
-from __future__ import annotations
+Defined cases are those of each stage's operator; an empty table gives no rows. Columns other than doc_id, text,
+lang, source and n_chars end at the first stage.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from inkveil.llm import mixing, near_dup, packing, quality, repeats
-from inkveil.llm.common import shared_dir, table
+from inkveil.llm.common import drop_written, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +38,14 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("quality", quality_stage), ("near_dup", near_dup_stage), ("repeats", repeats_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
-#: No SQL: signatures, fitted models and tokenizers aren't expressible; tests/llm holds each stage against brute force.
+#: No SQL: signatures, fitted models and tokenizers aren't expressible; tests/llm/test_pipeline.py holds stages and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each stage's rows are a Parquet table in the shared folder."""
+    """STAGES applied to documents; each stage's rows are a Parquet table in the shared folder, deleted once the next is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/inkveil/stage-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        last, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(last)
     return STAGES[-1][1](spark, docs, sf_dir)
