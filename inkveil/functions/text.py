@@ -1,13 +1,20 @@
-"""String functions as Column expressions: folding, stems, tokens, group norms, snippets, checksums."""
+"""String functions: folding, stems, tokens, group norms, snippets; as Column expressions, and stems and tokens in Python for detection."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, functions as F
 
-# Long vowels and syllabic consonants with their short forms; listed endings of declined names.
+# Long vowels and syllabic consonants with their short forms; listed endings of declined names;
+# punctuation that is no part of a token at its edges: ASCII, ellipsis, quotes, guillemets, dashes, minus, dot, section.
 LONG, SHORT = "áéíóúýĺŕ", "aeiouylr"
 ENDINGS = "a e i o u y om ou ov ovi ova ovu ove ovej ovou ovom ovci ovcov iam iach ami ovce oviec ovciam ovciach ovcami".split()
-EDGE = ".,;:!?()[]{}\"'„“”‚‘’«»<>/\\-–—"
+EDGE = ".,;:!?()[]{}<>\"'/\\|*_-" + "…" + "„“”" + "‚‘’" + "«»‹›" + "–—−" + "·§"
+_STEM = re.compile(f"(.{{3,}}?)(?:{'|'.join(ENDINGS)})", re.DOTALL)
+_FOLD = str.maketrans(LONG, SHORT)
+_RUN = re.compile(r"\S+")
 
 
 def casefold(c: Column) -> Column:
@@ -27,39 +34,33 @@ def normalize(c: Column) -> Column:
     return casefold(F.regexp_replace(c, r"(?U)\s", ""))
 
 
+def soft_hyphens(c: Column) -> Column:
+    """Each soft hyphen as a hyphen; one for one, so that places stay."""
+    return F.translate(c, "\u00ad", "-")
+
+
 def snippet(text: Column, start: Column, end: Column, width: int = 40) -> Column:
     """What stands around a span, white space collapsed."""
     a = F.greatest(start - width, F.lit(0))
     return F.trim(F.regexp_replace(F.substring(text, a + 1, end + width - a), r"(?U)\s+", " "))
 
 
-# Checks as SQL over a surface named s: one parsed expression each, which costs the driver less than many Column calls.
-_at = "cast(substr({}, i, 1) as int)"
-_sum = "aggregate(transform(sequence(1, {n}), i -> {d} * element_at(array({w}), {k} - {n} + i)), 0, (a, y) -> a + y)"
-
-
-def weighted_sql(text: str, weights: list[int]) -> str:
-    """Sum of digit times weight, aligned at the right."""
-    return _sum.format(n=f"length({text})", d=_at.format(text), w=", ".join(map(str, weights)), k=len(weights))
-
-
-BIRTH_NUMBER_OK = "cast(replace(s, '/', '') as bigint) % 11 = 0"
-_month = "cast(substr(s, 3, 2) as int)"
-BIRTH_NUMBER_SHAPE = "(" + " or ".join(f"{_month} - {k} between 1 and 12" for k in (0, 50, 20, 70)) + ") and cast(substr(s, 5, 2) as int) between 1 and 31"
-_ico = weighted_sql("substr(s, 1, 7)", [8, 7, 6, 5, 4, 3, 2]) + " % 11"
-COMPANY_NUMBER_OK = f"cast(substr(s, 8, 1) as int) = case {_ico} when 0 then 1 when 1 then 0 else 11 - ({_ico}) end"
-# Four characters to the end, letters as numbers from 10 (S is 28, K is 20), modulo 97.
-IBAN_OK = "cast(concat(substr(replace(s, ' ', ''), 5, 20), '2820', substr(replace(s, ' ', ''), 3, 2)) as decimal(38,0)) % 97 = 1"
-ACCOUNT_OK = weighted_sql("split_part(s, '-', 1)", [10, 5, 8, 4, 2, 1]) + " % 11 = 0 and " + weighted_sql("split_part(split_part(s, '-', 2), '/', 1)", [6, 3, 7, 9, 10, 5, 8, 4, 2, 1]) + " % 11 = 0"
-_edge = "[" + "".join("\\" + c for c in EDGE if c != "'") + "\\x27]+"
+def stem_of(word: str) -> str:
+    """stem() of a Python string."""
+    w = word.casefold().translate(_FOLD)
+    m = _STEM.fullmatch(w)
+    return m[1] if m else w
 
 
-def stem_sql(word: str) -> str:
-    """stem() as SQL."""
-    return rf"regexp_replace(translate(replace(lower({word}), 'ß', 'ss'), '{LONG}', '{SHORT}'), r'^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$', '$1')"
+def tokens(text: str) -> Iterator[tuple[str, int]]:
+    """Runs without white space, without edge punctuation, and where they start; none that are empty."""
+    for m in _RUN.finditer(text):
+        left = m[0].lstrip(EDGE)
+        core = left.rstrip(EDGE)
+        if core:
+            yield core, m.end() - len(left)
 
 
-def edges_sql(word: str, left: bool = True, right: bool = True) -> str:
-    """word without edge punctuation."""
-    out = f"regexp_replace({word}, r'^{_edge}', '')" if left else word
-    return f"regexp_replace({out}, r'{_edge}$', '')" if right else out
+def norm_of(surface: str) -> str:
+    """normalize() of a Python string."""
+    return "".join(surface.split()).casefold()

@@ -1,118 +1,163 @@
-"""Candidates of a text unit and their resolution: array expressions, one row in and one row out, no shuffle.
+"""Candidates of a text unit and their resolution: one pass over Arrow batches, one row in and one row out, no shuffle.
 
-Expressions are SQL texts, parsed in one go; intermediate spans are lambda variables, which the optimizer
-doesn't repeat as it may repeat columns.
+Why Python: overlapping alternatives, look-around and offsets of all matches take several interpreted array
+expressions a pattern in SQL, which measured five times the CPU of this pass. A text that lacks what a type's
+matches hold is passed over.
+
+Defined cases: a null text has a null list; an empty text and a null or empty list of entities give none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from inkveil.functions.patterns import FIRST, NEEDS, PRECEDENCE, SECOND, U
-from inkveil.functions.text import edges_sql, stem_sql
-
-CANDIDATE = "array<struct<type:string,surface:string,start:int,end:int,auto:boolean>>"
-NONE = f"cast(array() as {CANDIDATE})"
-
-
-def let(value: str, name: str, use: str) -> str:
-    """use, in which name stands for value, computed once."""
-    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
-
-
-#: Set around matches; what a text has of it counts as another control character.
-MARK, OTHER = "\u0001", "\u0003"
-
-
-def marked(text: str, pattern: str):
-    """What stands between matches, and the matches, in turn: one run of the pattern for surfaces and places."""
-    return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-
-
-def start_of(parts: str, i: str) -> str:
-    return f"aggregate(slice({parts}, 1, {i}), 0, (a, y) -> a + length(y))"
-
-
-def located(parts: str) -> str:
-    """surface and start of each match of marked parts."""
-    every = f"transform({parts}, (x, i) -> named_struct('surface', x, 'start', if(i % 2 = 1, {start_of(parts, 'i')}, null)))"
-    return f"filter({every}, x -> x.start is not null)"
-
-
-def _typed(spans: str, type_: str, shape: str | None, check: str | None) -> str:
-    """Candidates of located spans; shape and check are SQL over the surface s."""
-    over = lambda sql: let("x.surface", "s", sql)
-    if shape:
-        spans = f"filter({spans}, x -> {over(shape)})"
-    return f"transform({spans}, x -> named_struct('type', '{type_}', 'surface', x.surface, 'start', x.start, 'end', x.start + length(x.surface), 'auto', {over(check) if check else 'true'}))"
+from bisect import bisect_left
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from inkveil.functions.patterns import FIRST, PRECEDENCE, SECOND, Kind
+from inkveil.functions.text import norm_of, stem_of, tokens
+
+CANDIDATE = "array<struct<type:string,surface:string,start:int,end:int,auto:boolean,group_key:string>>"
+#: Words whose stems a task keeps.
+MOST_STEMS = 200_000
+_RANK = {t: i for i, t in enumerate(PRECEDENCE)}
+Span = tuple[int, int, str, bool, str | None]  # start, end, type, whether sure, group key of a name
+
+
+def scan(text: str, kinds: dict[str, Kind]) -> list[Span]:
+    """Candidates of the given types, type by type."""
+    out = []
+    for t, (pattern, needs, shape, sure) in kinds.items():
+        if needs is None or needs in text:
+            for m in pattern.finditer(text):
+                s = m[0]
+                if shape is None or shape(s):
+                    out.append((m.start(), m.end(), t, sure is None or sure(s), None))
+    return out
+
+
+class Names:
+    """Stems of words and of known entities, kept for a task."""
+
+    def __init__(self):
+        self.stems: dict[str, str] = {}
+        self.entities: dict[tuple, dict[str, int]] = {}
+
+    def stem(self, word: str) -> str:
+        found = self.stems.get(word)
+        if found is None:
+            if len(self.stems) >= MOST_STEMS:
+                self.stems.clear()
+            found = self.stems[word] = stem_of(word)
+        return found
+
+    def of(self, known: tuple) -> dict[str, int]:
+        """Each stem of an entity's words, and the first entity that has it."""
+        found = self.entities.get(known)
+        if found is None:
+            if len(self.entities) >= 1000:
+                self.entities.clear()
+            found = {}
+            for i, entity in enumerate(known):
+                for word, _ in tokens(entity or ""):
+                    found.setdefault(self.stem(word), i)
+            found.pop("", None)
+            self.entities[known] = found
+        return found
+
+    def find(self, text: str, known: tuple) -> list[Span]:
+        """Each token whose stem is one of a known entity's."""
+        stems = self.of(known)
+        out = []
+        if stems:
+            for word, at in tokens(text):
+                i = stems.get(self.stem(word))
+                if i is not None:
+                    out.append((at, at + len(word), "MENO", True, f"entity:{i}"))
+        return out
+
+
+def not_in_accounts(spans: list[Span]) -> list[Span]:
+    """Without what lies strictly inside an account number."""
+    accounts = [s for s in spans if s[2] == "BANKOVY_UCET"]
+    inside = lambda s: any(a[0] <= s[0] and s[1] <= a[1] and a[:2] != s[:2] for a in accounts)
+    return [s for s in spans if s[2] == "BANKOVY_UCET" or not inside(s)] if accounts else spans
 
 
-def candidates(df: DataFrame, types: dict, text: str, out: str) -> DataFrame:
-    """out: candidates of all types in the order of types. Parts are columns of their own, so each pattern runs once a row, and only where the text holds what it needs."""
-    d = df.withColumn("_text", F.translate(text, MARK, OTHER))
-    found = {f"_{t}{i}": (p, NEEDS.get(t)) for t, (ps, _, _) in types.items() for i, p in enumerate(ps)}
-    parts = {f"p{k}": marked("_text", U + p) for k, (p, _) in found.items()}
-    d = d.withColumns({c: x if n is None else F.when(~F.contains("_text", F.lit(n)), F.array("_text")).otherwise(x) for (c, x), (_, n) in zip(parts.items(), found.values())})
-    out_parts = []
-    for t, (ps, shape, check) in types.items():
-        spans = [located(f"p_{t}{i}") for i in range(len(ps))]
-        out_parts.append(_typed(f"concat({', '.join(spans)})" if len(spans) > 1 else spans[0], t, shape, check))
-    return d.withColumn(out, F.expr(f"cast(concat({', '.join(out_parts)}) as {CANDIDATE})")).drop("_text", *parts)
+def one_a_span(spans: list[Span]) -> list[Span]:
+    """Of equal spans a doubtful candidate drives out the sure ones; then the type of the highest precedence stays."""
+    best: dict[tuple[int, int], Span] = {}
+    for s in spans:
+        was = best.get(s[:2])
+        if was is None or (s[3], _RANK[s[2]]) < (was[3], _RANK[was[2]]):
+            best[s[:2]] = s
+    return list(best.values())
 
 
-def entity_stems_sql(entity: str) -> str:
-    return f"array_distinct(filter(transform(regexp_extract_all({entity}, r'(?U)\\S+', 0), w -> {stem_sql(edges_sql('w'))}), q -> q <> ''))"
+def not_in_emails(spans: list[Span]) -> list[Span]:
+    """Without addresses that are part of an e-mail. E-mails don't overlap, so one may hold an address only if it is the last to start before it ends."""
+    mails = [s for s in spans if s[2] == "EMAIL"]
+    if not mails:
+        return spans
+    starts = [s[0] for s in mails]
 
+    def inside(s: Span) -> bool:
+        i = bisect_left(starts, s[0] + 1) - 1
+        return i >= 0 and s[1] <= mails[i][1]
 
-def names(df: DataFrame, known: str) -> DataFrame:
-    """_names: each token whose stem is one of a known entity's. Tokens are runs without white space, without edge punctuation.
+    return [s for s in spans if s[2] != "URL" or not inside(s)]
 
-    Places are worked out for hits alone, so the work grows with the words and not with their square.
-    """
-    d = df.withColumn("_parts", marked(F.translate("text", MARK, OTHER), r"(?U)\S+"))
-    d = d.withColumn("_stems", F.expr(f"flatten(transform(coalesce({known}, cast(array() as array<string>)), e -> {entity_stems_sql('e')}))"))
-    tokens = f"filter(transform(_parts, (x, i) -> named_struct('raw', x, 'i', i, 'token', if(i % 2 = 1, {edges_sql('x')}, ''))), x -> x.token <> '')"
-    hits = f"if(size(_stems) = 0, null, filter({tokens}, x -> array_contains(_stems, {stem_sql('x.token')})))"
-    left = edges_sql("x.raw", right=False)
-    placed = f"transform(coalesce({hits}, array()), x -> named_struct('n', length(x.token), 'start', {start_of('_parts', 'x.i')} + length(x.raw) - length({left})))"
-    spans = f"transform({placed}, x -> named_struct('surface', substr(text, x.start + 1, x.n), 'start', x.start))"
-    return d.withColumn("_names", F.expr(f"cast({_typed(spans, 'MENO', None, None)} as {CANDIDATE})")).drop("_parts", "_stems")
 
+def resolved(first: list[Span], second: list[Span]) -> list[Span]:
+    """The rules in order, then by span. A name that is also an e-mail, a date and the like yields to that type."""
+    every = one_a_span(not_in_accounts(first)) + second
+    out: dict[tuple[int, int], Span] = {}
+    for s in not_in_emails(every):
+        was = out.get(s[:2])
+        if was is None or was[2] == "MENO":
+            out[s[:2]] = s
+    return [out[k] for k in sorted(out)]
 
-_INSIDE = "y.start <= x.start and x.end <= y.end"
-_SAME = "y.start = x.start and y.end = x.end"
-_RANK = "array_position(array(" + ", ".join(f"'{t}'" for t in PRECEDENCE) + "), {}.type)"
 
+def as_array(texts: list[str | None], rows: list[list[Span] | None]) -> pa.Array:
+    offsets, flat = [0], []
+    for t, spans in zip(texts, rows):
+        flat += [(ty, t[a:b], a, b, sure, key if key is not None else norm_of(t[a:b])) for a, b, ty, sure, key in spans or ()]
+        offsets.append(len(flat))
+    kinds = [("type", pa.string()), ("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("auto", pa.bool_()), ("group_key", pa.string())]
+    cols = list(zip(*flat)) or [()] * len(kinds)
+    fields = [pa.array(c, k) for c, (_, k) in zip(cols, kinds)]
+    mask = pa.array([r is None for r in rows]) if None in rows else None
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, [n for n, _ in kinds]), mask=mask)
 
-def not_in_accounts(spans: str) -> str:
-    """Without what lies strictly inside an account number."""
-    return let(spans, "z", f"filter(z, x -> x.type = 'BANKOVY_UCET' or not exists(z, y -> y.type = 'BANKOVY_UCET' and {_INSIDE} and not ({_SAME})))")
 
+def candidates(df: DataFrame, kinds: dict[str, Kind], text: str, out: str) -> DataFrame:
+    """out: candidates of the given types, unresolved, type by type."""
 
-def flags_survive(spans: str) -> str:
-    """Of equal spans a doubtful candidate drives out the sure ones."""
-    return let(spans, "z", f"filter(z, x -> not x.auto or not exists(z, y -> {_SAME} and not y.auto))")
+    def run(col: pa.Array) -> pa.Array:
+        texts = col.to_pylist()
+        return as_array(texts, [None if t is None else scan(t, kinds) for t in texts])
 
+    return df.withColumn(out, F.arrow_udf(run, CANDIDATE)(F.col(text)))
 
-def first_type(spans: str) -> str:
-    """Of equal spans the type of the highest precedence stays."""
-    return let(spans, "z", f"filter(z, x -> not exists(z, y -> {_SAME} and {_RANK.format('y')} < {_RANK.format('x')}))")
 
+def found(col: pa.Array, known: pa.Array) -> pa.Array:
+    """Resolved candidates of texts with their known entities."""
+    names, texts = Names(), col.to_pylist()
+    rows = [None if t is None else resolved(scan(t, FIRST) + names.find(t, tuple(k or ())), scan(t, SECOND)) for t, k in zip(texts, known.to_pylist())]
+    return as_array(texts, rows)
 
-def not_in_emails(spans: str) -> str:
-    """Without addresses that are part of an e-mail."""
-    return let(spans, "z", f"filter(z, x -> x.type <> 'URL' or not exists(z, y -> y.type = 'EMAIL' and {_INSIDE}))")
 
-
-def resolved(first: str = "_a", names_: str = "_names", second: str = "_b") -> Column:
-    """The rules in order, then by span. A name that is also an e-mail, a date and the like yields to that type."""
-    every = first_type(not_in_emails(f"concat({first_type(flags_survive(not_in_accounts(f'concat({first}, {names_})')))}, {second})"))
-    by_span = f"array_sort(transform({every}, x -> named_struct('start', x.start, 'end', x.end, 'type', x.type, 'surface', x.surface, 'auto', x.auto)))"
-    return F.expr(f"transform({by_span}, x -> named_struct('type', x.type, 'surface', x.surface, 'start', x.start, 'end', x.end, 'auto', x.auto))")
+def detect(units: DataFrame, known: str | None = None, extra_terms: list[str] | None = None) -> DataFrame:
+    """units with cands: resolved candidates ordered by span. known: a column of known entities. extra_terms: a reviewer's own, after those; blank ones don't count."""
+    entities = F.coalesce(F.col(known), F.array().cast("array<string>")) if known else F.array().cast("array<string>")
+    terms = [t.strip() for t in extra_terms or () if t.strip()]
+    if terms:
+        entities = F.concat(entities, F.array(*map(F.lit, terms)))
+    # Not deterministic in name only: else the optimizer may run it once for each use of its column.
+    return units.withColumn("cands", F.arrow_udf(found, CANDIDATE).asNondeterministic()(F.col("text"), entities))
 
 
-def detect(units: DataFrame, known: str | None = None) -> DataFrame:
-    """units with cands: resolved candidates ordered by span. known: a column of known entities."""
-    d = candidates(units, FIRST, "text", "_a")
-    d = names(d, known) if known else d.withColumn("_names", F.expr(NONE))
-    return candidates(d, SECOND, "text", "_b").withColumn("cands", resolved()).drop("_a", "_b", "_names")
+def register(spark: SparkSession) -> None:
+    """detect_spans(text, entities) for SQL."""
+    spark.udf.register("detect_spans", F.arrow_udf(found, CANDIDATE))

@@ -36,12 +36,13 @@ CHECKS = {
     "acc": "(" + " + ".join(f"{w} * {_d('acc', i + 1)}" for i, w in enumerate([10, 5, 8, 4, 2, 1])) + ") % 11 = 0 AND (" + " + ".join(f"{w} * {_d('acc', i + 8)}" for i, w in enumerate([6, 3, 7, 9, 10, 5, 8, 4, 2, 1])) + ") % 11 = 0",
 }
 _DUCK_NAME = "[" + ", ".join(f"'{n}'" for n in S.NAMES) + f"][cast(1 + k % {len(S.NAMES)} as int)]"
+_EDGED = ", ".join(f"'{n}'" for n in S.EDGED)
 _ENTITY = "CASE WHEN surface = 'Kováčovej' THEN 'entity:1' ELSE 'entity:0' END"
 _CARRIER = f"c AS ({S.carrier_sql('orders', _DUCK_NAME)})"
-_FOUND = _CARRIER + ", t AS (" + " UNION ALL ".join(f"SELECT doc_id, unit_seq, location, text, '{S.TYPES[f]}' AS type, {f} AS surface, strpos(text, {f}) - 1 AS start, {CHECKS.get(f, 'true')} AS auto, lower(regexp_replace({f}, '[\\s ]', '', 'g')) AS group_key FROM c" for f in S.FIELDS)
-_FOUND += "".join(f" UNION ALL SELECT doc_id, unit_seq, location, text, 'MENO', surface, 12 + o, true, {_ENTITY} FROM (SELECT *, {s} AS surface, {o} AS o FROM c WHERE {w})" for s, o, w in (("'Ján'", 0, "name = 'Ján Novák'"), ("'Novák'", 4, "name = 'Ján Novák'"), ("name", 0, "name in ('Nováka', 'Kováčovej', 'Novákovcov')"))) + ")"
+_FOUND = _CARRIER + ", t AS (" + " UNION ALL ".join(f"SELECT doc_id, unit_seq, location, text, '{S.TYPES[f]}' AS type, {f} AS surface, strpos(text, {f}) - 1 AS start, {CHECKS.get(f, 'true')} AS auto, lower(regexp_replace({f}, '[\\s\u00a0]', '', 'g')) AS group_key FROM c" for f in S.FIELDS)
+_FOUND += "".join(f" UNION ALL SELECT doc_id, unit_seq, location, text, 'MENO', surface, 12 + o, true, {_ENTITY} FROM (SELECT *, {s} AS surface, {o} AS o FROM c WHERE {w})" for s, o, w in (("'Ján'", 0, "name = 'Ján Novák'"), ("'Novák'", 4, "name = 'Ján Novák'"), ("'Novák'", 1, f"name in ({_EDGED})"), ("name", 0, "name in ('Nováka', 'Kováčovej', 'Novákovcov')"))) + ")"
 _SPANS = _FOUND + ", f AS (SELECT doc_id, unit_seq, location, text, type, surface, cast(start as int) AS start, cast(start + length(surface) as int) AS \"end\", auto, group_key FROM t)"
-_SNIP = "trim(regexp_replace(substr(text, greatest(start - 40, 0) + 1, \"end\" + 40 - greatest(start - 40, 0)), '[\\s ]+', ' ', 'g'))"
+_SNIP = "trim(regexp_replace(substr(text, greatest(start - 40, 0) + 1, \"end\" + 40 - greatest(start - 40, 0)), '[\\s\u00a0]+', ' ', 'g'))"
 
 
 def _labels(where: str) -> str:
@@ -67,7 +68,9 @@ def _surfaces(units: DataFrame) -> DataFrame:
     return units.select(F.col("unit_seq").alias("doc_id"), F.lit("document_xml").alias("part"), "text")
 
 
-_EMAIL_RE2 = P.SECOND["EMAIL"][0][0]
+_LABEL = "[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\."
+_EMAIL_RE2 = f"\\b[A-Za-z0-9._%+-]+@{_LABEL}[A-Za-z]{{2,}}\\b"
+_URL_RE2 = f"\\b(?:https?://(?:www\\.)?|www\\.){_LABEL}[A-Za-z]{{2,}}\\b|\\b{_LABEL}(?:sk|cz|com|eu|org|net|info|biz|edu|gov|io|dev)\\b"
 
 
 @query(f"SELECT lang, count(*) AS n, cast(sum(length(e)) as bigint) AS chars FROM (SELECT lang, unnest(regexp_extract_all(text, '{_EMAIL_RE2}')) AS e FROM documents) GROUP BY lang")
@@ -76,7 +79,7 @@ def email_by_lang(spark, sf_dir):
     return d.select("lang", F.explode("x").alias("x")).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("x.surface")).alias("chars"))
 
 
-@query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{P.SECOND['URL'][0][0]}')) AS u FROM pages) GROUP BY page_id")
+@query(f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_URL_RE2}')) AS u FROM pages) GROUP BY page_id")
 def url_pages(spark, sf_dir):
     d = D.candidates(_read(spark, sf_dir, "pages").select("page_id", "html"), {"URL": P.SECOND["URL"]}, "html", "x")
     return d.select("page_id", F.explode("x").alias("x")).groupBy("page_id").agg(F.count("*").alias("n"))
@@ -125,17 +128,16 @@ def _redacted_sql() -> str:
     pick = lambda t: f"max(CASE WHEN type = '{t}' THEN label END)"
     picks = ", ".join(f"{pick(t)} AS l_{f}" for f, t in S.TYPES.items())
     cols = ", ".join(f"coalesce(l_{f}, {f}) AS {f}" for f in S.FIELDS)
-    name = "CASE WHEN name = 'Ján Novák' THEN l_name || ' ' || l_name WHEN l_name IS NOT NULL THEN l_name ELSE name END AS name"
+    name = f"CASE WHEN name = 'Ján Novák' THEN l_name || ' ' || l_name WHEN name IN ({_EDGED}) THEN replace(name, 'Novák', l_name) WHEN l_name IS NOT NULL THEN l_name ELSE name END AS name"
     return f"WITH {_LABELLED}, p AS (SELECT unit_seq, {pick('MENO')} AS l_name, {picks} FROM m GROUP BY unit_seq), r AS (SELECT c.doc_id, c.unit_seq, {name}, {cols} FROM c LEFT JOIN p USING (unit_seq)) SELECT doc_id, unit_seq, {S.TEXT} AS text FROM r"
 
 
 @query(_redacted_sql())
 def redacted_text(spark, sf_dir):
-    u = S.carrier(spark, sf_dir)
-    return R.redact(u, R.label(R.decide(R.spans(u, "known")))).select("doc_id", "unit_seq", "text")
+    return R.redacted(S.carrier(spark, sf_dir), "known").select("doc_id", "unit_seq", "text")
 
 
-@query(f"WITH {_LABELLED} SELECT doc_id, label, type, n AS n, count(*) AS occurrences, string_agg(DISTINCT location, ',' ORDER BY location) AS locations FROM m GROUP BY doc_id, label, type, n")
+@query(f"WITH {_LABELLED} SELECT doc_id, label, type, n AS n, count(*) AS occurrences, string_agg(DISTINCT location, ', ' ORDER BY location) AS locations FROM m GROUP BY doc_id, label, type, n")
 def report_rows(spark, sf_dir):
     return R.report_rows(R.label(R.decide(_found(spark, sf_dir))))
 
@@ -160,20 +162,55 @@ def decisions(spark, sf_dir):
     return R.label(R.decide(found, d)).select("doc_id", "unit_seq", "start", "label")
 
 
-@query()
+_NOTE = R.NOTICE.replace("'", "''")
+_HEAD = f"'{R.TITLE}' || chr(10) || chr(10) || '" + _NOTE.replace("\n", "' || chr(10) || '") + f"' || chr(10) || '" + R.REDACTED.replace("\n", "' || chr(10) || '") + "'"
+_LOW = "'" + R.LOW_CONFIDENCE.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"WITH {_LABELLED}, r AS (SELECT doc_id, label, type, n, type || ' | ' || label || ' | ' || count(*) || ' | ' || string_agg(DISTINCT location, ', ' ORDER BY location) AS row FROM m GROUP BY doc_id, label, type, n), a AS (SELECT doc_id, string_agg(chr(10) || row, '' ORDER BY type, n) AS rows FROM r GROUP BY doc_id), b AS (SELECT doc_id, string_agg(chr(10) || type || ' | ' || surface || ' | ' || location, '' ORDER BY unit_seq, start) AS rows FROM f WHERE NOT auto GROUP BY doc_id) SELECT doc_id, {_HEAD} || coalesce(a.rows, '') || chr(10) || chr(10) || {_LOW} || coalesce(b.rows, chr(10) || '(none)') || chr(10) AS report FROM a FULL JOIN b USING (doc_id)")
 def report_texts(spark, sf_dir):
     d = R.decide(_found(spark, sf_dir))
     return R.report_text(R.label(d), d)
 
 
-@query(f"WITH {_SPANS} SELECT unit_seq AS doc_id, surface, type, 'document_xml' AS found_in, 'other' AS kind FROM f WHERE auto AND type <> 'MENO'")
+@query(f"WITH {_LABELLED} SELECT doc_id, label, count(*) AS n, string_agg(unit_seq || ':' || start || ':' || location || ':' || surface, ',' ORDER BY unit_seq, start) AS places, first({_SNIP} ORDER BY unit_seq, start) AS context, first(group_key ORDER BY unit_seq, start) AS group_key FROM m GROUP BY doc_id, label")
+def occurrences(spark, sf_dir):
+    """Every place of each label, its first context, and the group it stands for."""
+    k = R.label(R.decide(_found(spark, sf_dir)))
+    places = F.array_join(F.transform("places", lambda x: F.concat_ws(":", x.unit_seq.cast("string"), x.start.cast("string"), x.location, x.surface)), ",")
+    return R.occurrence_lists(k).join(R.groups(k).drop("type"), ["doc_id", "label"]).select("doc_id", "label", F.size("places").cast("long").alias("n"), places.alias("places"), "context", "group_key")
+
+
+_REVIEW = "v AS (SELECT doc_id, type, group_key, CASE WHEN auto THEN 'auto' ELSE 'review' END AS bucket, first(surface ORDER BY unit_seq, start) AS text FROM f GROUP BY doc_id, type, group_key, auto)"
+
+
+@query(f"WITH {_SPANS}, {_REVIEW} SELECT doc_id, bucket, type, text, row_number() OVER (PARTITION BY doc_id ORDER BY bucket, type, text, group_key) AS place FROM v")
+def review_order(spark, sf_dir):
+    return R.review_order(R.review_rows(R.decide(_found(spark, sf_dir)))).select("doc_id", "bucket", "type", "text", "place")
+
+
+@query(f"WITH {_SPANS}, {_REVIEW} SELECT doc_id, type, group_key, CASE WHEN bucket = 'auto' THEN 'suppress' ELSE 'force' END AS action FROM v WHERE (bucket = 'auto' AND type = 'EMAIL') OR (bucket = 'review' AND type = 'IBAN')")
+def build_decisions(spark, sf_dir):
+    """A reviewer unticks every e-mail and ticks every doubtful account; other groups keep what they had."""
+    review = R.review_rows(R.decide(_found(spark, sf_dir)))
+    before = review.filter("type in ('EMAIL', 'IBAN')").withColumn("ticked", F.col("type") == "IBAN")
+    return R.build_decisions(R.carried(review, before))
+
+
+@query(f"WITH {_CARRIER} SELECT unit_seq, 'Predávajúci' AS surface, cast(0 as int) AS start, 'entity:5' AS group_key FROM c")
+def extra_terms(spark, sf_dir):
+    """A reviewer's own term joins the known entities, as the last of them."""
+    s = R.spans(S.carrier(spark, sf_dir), "known", [" Predávajúceho ", " ", "Predávajúci"])
+    return s.filter("start = 0").select("unit_seq", "surface", "start", "group_key")
+
+
+@query(f"WITH {_SPANS} SELECT unit_seq AS doc_id, surface, type, 'document_xml' AS found_in, 'body' AS gt_parts, 'other' AS kind FROM f WHERE auto AND type <> 'MENO'")
 def leaks_of_null(spark, sf_dir):
     return E.leaks(_truth(spark, sf_dir), _surfaces(S.carrier(spark, sf_dir)))
 
 
 def _redacted(spark, sf_dir):
-    u = S.carrier(spark, sf_dir)
-    return _surfaces(R.redact(u, R.label(R.decide(R.spans(u, "known")))))
+    return _surfaces(R.redacted(S.carrier(spark, sf_dir), "known"))
 
 
 @query("SELECT cast(0 as bigint) AS n")
@@ -181,28 +218,74 @@ def leaks_of_engine(spark, sf_dir):
     return E.leaks(_truth(spark, sf_dir), _redacted(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_SPANS}, x AS (SELECT type, auto FROM f WHERE type <> 'MENO' UNION ALL SELECT 'ORDER_NO', NULL FROM c), g AS (SELECT type, count(*) FILTER (auto) AS a, count(*) FILTER (NOT auto) AS b, count(*) FILTER (auto IS NULL) AS d FROM x GROUP BY type) SELECT type, a AS auto_total, a AS auto_removed, d AS decoy_total, d AS decoy_kept, b AS flag_total, b AS flag_kept, CASE WHEN a > 0 THEN 1.0::DOUBLE END AS recall, CASE WHEN d > 0 THEN 1.0::DOUBLE END AS decoy_survival, CASE WHEN b > 0 THEN 1.0::DOUBLE END AS flag_survival FROM g")
+@query(f"WITH {_SPANS}, x AS (SELECT type, auto FROM f WHERE type <> 'MENO' UNION ALL SELECT 'ORDER_NO', NULL FROM c), g AS (SELECT type, count(*) FILTER (auto) AS a, count(*) FILTER (NOT auto) AS b, count(*) FILTER (auto IS NULL) AS d FROM x GROUP BY type) SELECT type, a AS auto_total, a AS auto_removed, d AS decoy_total, d AS decoy_kept, b AS flag_total, b AS flag_kept, b AS flag_in_review, CASE WHEN a > 0 THEN 1.0::DOUBLE END AS recall, CASE WHEN d > 0 THEN 1.0::DOUBLE END AS decoy_survival, CASE WHEN b > 0 THEN 1.0::DOUBLE END AS flag_survival FROM g")
 def rates_by_type(spark, sf_dir):
-    return E.rates(_truth(spark, sf_dir), _redacted(spark, sf_dir))
+    low = R.low_confidence(R.decide(_found(spark, sf_dir))).select(F.col("unit_seq").alias("doc_id"), "surface")
+    return E.rates(_truth(spark, sf_dir), _redacted(spark, sf_dir), low)
 
 
-_GATES = ("leak_ok", "integrity_ok", "unexpected_ok", "coverage_ok", "retention_ok", "decoy_ok", "flag_ok")
 #: What each known-bad redactor must fail.
-EXPECTED = {"null": {"leak_ok"}, "scorch": {"retention_ok", "decoy_ok", "flag_ok"}, "empty_output": {"retention_ok", "decoy_ok", "flag_ok"}, "greedy": {"flag_ok"}}
+EXPECTED = {"null": {"leak_ok"}, "scorch": {"retention_ok", "decoy_ok", "flag_ok"}, "empty_output": {"retention_ok", "decoy_ok", "flag_ok"}, "refuse_all": {"coverage_ok"}, "greedy": {"flag_ok"}, "corrupt_output": {"integrity_ok"}, "overeager_refusal": {"unexpected_ok", "flag_ok"}}
+
+
+def _files(spark, sf_dir):
+    """The carriers' files, a unit each, and files without text that must be refused."""
+    o = _read(spark, sf_dir, "orders").select("o_orderkey")
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.lit(False).alias("must_refuse")).unionByName(o.filter("o_orderkey % 100 = 0").select((-1 - F.col("o_orderkey")).alias("doc_id"), F.lit(True).alias("must_refuse")))
 
 
-@query(" UNION ALL ".join(f"SELECT '{b}' AS baseline, " + ", ".join(f"{str(g not in bad).lower()} AS {g}" for g in _GATES) for b, bad in EXPECTED.items()))
+@query(" UNION ALL ".join(f"SELECT '{b}' AS baseline, " + ", ".join(f"{str(g not in bad).lower()} AS {g}" for g in E.GATES) + ", false AS passed" for b, bad in EXPECTED.items()))
 def baseline_matrix(spark, sf_dir):
-    t, o = _truth(spark, sf_dir), _surfaces(S.carrier(spark, sf_dir))
-    files = o.select("doc_id", F.lit(False).alias("must_refuse"), F.lit("graded").alias("status"))
+    t, o, files = _truth(spark, sf_dir), _surfaces(S.carrier(spark, sf_dir)), _files(spark, sf_dir)
     out = None
-    for b in EXPECTED:
-        r = E.baseline(b, o, t)
-        row = E.gates(E.leaks(t, r), E.rates(t, r), E.retention(t, o, r), files).withColumn("baseline", F.lit(b))
+    for b in E.BASELINES:
+        row = E.run_eval(t, files, o, *E.baseline(b, o, t, files)).withColumn("baseline", F.lit(b))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+_STATUS = "SELECT k AS doc_id, CASE WHEN k % 100 = 0 THEN CASE WHEN k % 3 = 0 THEN 'unexpected' ELSE 'refused' END WHEN k % 7 = 0 THEN 'missing' WHEN k % 11 = 0 THEN 'broken' ELSE 'graded' END AS status FROM (SELECT o_orderkey AS k FROM orders)"
+
+
+def _statuses(spark, sf_dir):
+    """Files named by order; some have no output, some one named _anon, some one that doesn't open."""
+    k = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    files = k.select(F.concat("k", F.lit(".docx")).alias("doc_id"), (F.col("k") % 100 == 0).alias("must_refuse"))
+    made = k.filter("(k % 100 = 0 and k % 3 = 0) or (k % 100 <> 0 and k % 7 <> 0)")
+    name = F.concat("k", F.when(F.col("k") % 2 == 0, "_anon.docx").otherwise(".docx"))
+    outputs = made.select(name.alias("path"), F.when((F.col("k") % 11 == 0) & (F.col("k") % 100 != 0), "bad").alias("error"))
+    return E.classified(files, outputs).withColumn("doc_id", F.split_part("doc_id", F.lit("."), F.lit(1)).cast("long"))
+
+
+@query(_STATUS)
+def run_status(spark, sf_dir):
+    return _statuses(spark, sf_dir).select("doc_id", "status")
+
+
+@query(f"SELECT doc_id FROM ({_STATUS}) WHERE status = 'refused'")
+def refused_docs(spark, sf_dir):
+    return _statuses(spark, sf_dir).filter("status = 'refused'").select("doc_id")
+
+
+@query(f"SELECT count(*) FILTER (status IN ('missing', 'broken', 'graded')) AS due, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'missing') = 0 AS coverage_ok FROM ({_STATUS})")
+def coverage(spark, sf_dir):
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return _statuses(spark, sf_dir).agg(n("missing", "broken", "graded").alias("due"), n("missing").alias("missing"), (n("missing") == 0).alias("coverage_ok"))
+
+
+@query(f"WITH {_SPANS} SELECT (SELECT count(*) FROM orders) AS files, cast(0 as bigint) AS text_layer, cast(0 as bigint) AS scrub, (SELECT count(*) FROM f WHERE auto AND type <> 'MENO') AS other, 'FAIL' AS verdict, cast(1 as int) AS exit_code")
+def leak_verdict(spark, sf_dir):
+    """The leak verdict on files that nothing was taken from."""
+    return E.leak_verdict(E.leaks(_truth(spark, sf_dir), _surfaces(S.carrier(spark, sf_dir))), _read(spark, sf_dir, "orders"))
+
+
+@query(f"WITH {_CARRIER} SELECT cast(count(*) as bigint) AS docs, true AS all_kept FROM c")
+def retention_of_null(spark, sf_dir):
+    """Nothing taken: each document keeps each of its other words."""
+    o = _surfaces(S.carrier(spark, sf_dir))
+    return E.retention(_truth(spark, sf_dir), o, o).agg(F.count("*").alias("docs"), F.bool_and(F.col("kept") == F.col("total")).alias("all_kept"))
+
+
 @query("WITH s AS (SELECT o_custkey AS doc_id, cast(o_orderkey % 400 as int) AS start, cast(o_orderkey % 400 + 1 + o_orderkey % 23 as int) AS e FROM orders), g AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s), h AS (SELECT *, sum(CASE WHEN start <= r THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT doc_id, min(start) AS start, max(e) AS \"end\" FROM h GROUP BY doc_id, k")
 def merge_islands(spark, sf_dir):
     o = _read(spark, sf_dir, "orders")
