@@ -3,14 +3,17 @@
 Unit vectors are centred, padded to CODE_BITS dimensions and rotated by a seeded random orthogonal matrix; a
 code keeps one sign bit for each dimension, and beside it the distance from the centre and the inner product
 of the vector with its code. From these follow an unbiased estimate of a cosine and a bound of its error.
-Every query meets every code in blocks; within a block the vectors whose upper bound reaches the K-th best
-lower bound are ranked again by exact cosines in double precision.
+Every vector is coded where it lies; codes and scalars alone are sent to the stated queries, in blocks. A task
+meets a block of queries with GROUP blocks of codes, one after another, and keeps of each query what its upper
+bound lets reach the K-th best lower bound so far. What is left after all tasks is ranked again by exact cosines
+in double precision, for which the few vectors left are fetched.
 
 Equal vectors form one class, of which the smallest ids are kept: a class of any size costs one code.
 
 Defined cases: vectors that are null, zero, of another length than the longest, or hold null or non-finite
-components take no part; ties go to the smaller vec_id; fewer candidates than K give fewer rows; an empty
-table gives no rows; columns other than vec_id and embedding are ignored.
+components take no part; ties go to the smaller vec_id; rows that repeat a query's vec_id are not its neighbours,
+and a repeated query id has one answer a row; fewer candidates than K give fewer rows; an empty table gives no
+rows; columns other than vec_id and embedding are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from inkveil.llm.common import small_batches, table, written
+from inkveil.llm.common import drop_written, small_batches, table, trimmed, written
 
 K, EVERY, SEED = 5, 50, 20240
 #: Bits of a code (a vector's own dimensions, if more), and the width of the error bound in standard deviations.
 CODE_BITS, SPREAD = 256, 3.0
-CODE_BLOCK, QUERY_BLOCK = 4096, 512
+CODE_BLOCK, QUERY_BLOCK, GROUP = 4096, 1024, 32
 
 
 def rotation(dims: int, bits: int, seed: int = SEED) -> np.ndarray:
@@ -56,87 +59,125 @@ def estimate(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, centred: np.n
     return scale * inner + centred + (queries @ centre)[:, None] - centre @ centre, scale * error + 1e-6
 
 
+def centre_of(classes: DataFrame, dims: int) -> tuple[np.ndarray, int]:
+    """Mean of the unit vectors, and their number: a row of sums a task."""
+
+    def run(batches):
+        total, n = np.zeros(dims), 0
+        for b in batches:
+            unit = _units(b.column(0), dims)[0]
+            total, n = total + unit.sum(axis=0), n + len(unit)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], ["sums", "n"])
+
+    rows = classes.select("e").mapInArrow(trimmed(run), "sums array<double>, n long").filter("n > 0").collect()
+    n = sum(r.n for r in rows)
+    return np.sum([r.sums for r in rows], axis=0) / max(n, 1) if rows else np.zeros(dims), n
+
+
+def _units(col: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths of a column of vectors."""
+    x = np.ascontiguousarray(col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), np.float64)
+    n = np.linalg.norm(x, axis=1)
+    return x / n[:, None], n
+
+
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bits: int = CODE_BITS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id every divides, its k nearest other rows."""
     spark = vectors.sparkSession
+    small_batches(spark)
     v = vectors.select("vec_id", "embedding").filter("vec_id is not null and embedding is not null and size(embedding) > 0")
     v = v.filter(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0))
     v = v.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    v = v.select("vec_id", "e", F.md5(F.concat_ws(",", F.col("e").cast("array<string>"))).alias("key"))
+    v = v.select("vec_id", "e", F.unhex(F.md5(F.concat_ws(",", F.col("e").cast("array<string>")))).alias("key"))
     dims = v.agg(F.max(F.size("e"))).first()[0] or 1
     v = v.filter(F.size("e") == dims)
     members = v.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    members = written(members, "ann-members")
+    members = written(members.select("key", "vec_id", "n", F.when(F.col("n") == 1, F.col("e")).alias("e")), "ann-members")
     queries = v.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "key")
     classes = members.filter("n = 1").select("key", "e")
-    asked = queries.select("key").distinct().join(classes, "key")
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
-    per_dim = classes.select(F.posexplode(F.transform("e", lambda x: x / norm)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"), F.count("*").alias("n")).collect()
-    if not per_dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centre = np.zeros(dims)
-    for r in per_dim:
-        centre[r.i] = r.x
-    total, turn = per_dim[0].n, rotation(dims, max(bits, dims))
+    asked = written(queries.select("key").distinct().join(classes, "key"), "ann-asked")
+    centre, total = centre_of(classes, dims)
+    turn = rotation(dims, max(bits, dims))
     code_blocks = max(1, -(-total // CODE_BLOCK))
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    groups = -(-code_blocks // GROUP)
     block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n))
-
-    def stack(col) -> np.ndarray:
-        return np.ascontiguousarray(col.combine_chunks().flatten().to_numpy().reshape(-1, dims))
-
-    def blob(t: pa.Table) -> pa.Table:
-        """A block as one row; codes and scalars are made here, once a vector."""
-        x = stack(t.column("e"))
-        unit = x / np.linalg.norm(x, axis=1)[:, None]
-        codes, norms, own = encode(unit, centre, turn)
-        keys = t.column("key").to_pylist()
-        cells = [[t.column("b")[0].as_py()], ["".join(keys)], [x.tobytes()], [codes.tobytes()], [np.stack([norms, own, unit @ centre]).tobytes()]]
-        return pa.table([pa.array(cells[0], pa.int64()), pa.array(cells[1]), *[pa.array(c, pa.binary()) for c in cells[2:]]], ["b", "keys", "x", "codes", "scalars"])
-
-    shape = "b long, keys string, x binary, codes binary, scalars binary"
-    coded = classes.withColumn("b", block(code_blocks)).groupBy("b").applyInArrow(blob, shape)
-    asked_blocks = asked.withColumn("b", block(query_blocks)).groupBy("b").applyInArrow(blob, shape)
-    asked_blocks = asked_blocks.select(F.col("b").alias("q"), F.col("keys").alias("qkeys"), F.col("x").alias("qx"))
-    met = coded.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))).repartition(code_blocks * query_blocks, "q", "b").join(asked_blocks, "q")
-
-    def scan(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                x, qx = (np.frombuffer(r[c]).reshape(-1, dims) for c in ("x", "qx"))
-                n = np.linalg.norm(x, axis=1)
-                norms, own, centred = np.frombuffer(r["scalars"]).reshape(3, -1)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(x), -1)
-                qn = np.linalg.norm(qx, axis=1)
-                est, err = estimate(codes, norms, own, centred, qx / qn[:, None], centre, turn)
-                most = min(k + 1, len(x))
-                floor = np.partition(est - err, len(x) - most, axis=1)[:, len(x) - most]
-                qi, ci = np.nonzero(est + err >= floor[:, None])
-                out = [[], [], []]
-                at = np.searchsorted(qi, np.arange(len(qx) + 1))
-                for i in range(len(qx)):
-                    c = ci[at[i] : at[i + 1]]
-                    s = (x[c] * qx[i]).sum(axis=1) / (n[c] * qn[i])
-                    best = np.argsort(-s, kind="stable")
-                    best = best[s[best] >= s[best[most - 1]]] if len(best) >= most else best
-                    out[0] += [r["qkeys"][32 * i : 32 * i + 32]] * len(best)
-                    out[1] += [r["keys"][32 * j : 32 * j + 32] for j in c[best]]
-                    out[2] += s[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["qkey", "key", "score"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
-    found = written(met.select("keys", "x", "codes", "scalars", "qkeys", "qx").mapInArrow(scan, "qkey string, key string, score double"), "ann-found")
-    small_batches(spark)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def code(batches):
+        for b in batches:
+            unit = _units(b.column(1), dims)[0]
+            if len(unit):
+                codes, norms, own = encode(unit, centre, turn)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(own.astype(np.float64)), pa.array(unit @ centre)], ["key", "code", "norm", "own", "centred"])
+
+    def pack(t: pa.Table) -> pa.Table:
+        """A block of codes as one row."""
+        blob = lambda c: b"".join(t.column(c).to_pylist())
+        scalars = np.stack([t.column(c).to_numpy() for c in ("norm", "own", "centred")])
+        return pa.table([t.column("b")[:1], pa.array([blob("key")], pa.binary()), pa.array([blob("code")], pa.binary()), pa.array([scalars.tobytes()], pa.binary())], ["b", "keys", "codes", "scalars"])
+
+    coded = classes.mapInArrow(trimmed(code), "key binary, code binary, norm double, own double, centred double").withColumn("b", block(code_blocks))
+    coded = written(coded.groupBy("b").applyInArrow(pack, "b long, keys binary, codes binary, scalars binary"), "ann-codes")
+    # Each block of codes meets each block of queries; a task has one block of queries and one group of code blocks.
+    left = coded.withColumn("g", F.floor(F.col("b") / GROUP)).withColumn("q", upto(query_blocks))
+    right = asked.withColumn("q", block(query_blocks)).withColumn("g", upto(groups))
+
+    def scan(codes: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(codes) or not len(asked):
+            return pa.table([pa.array([], pa.binary()), pa.array([], pa.binary()), pa.array([], pa.float64()), pa.array([], pa.float64())], ["qkey", "key", "low", "high"])
+        unit, most = _units(asked.column("e").combine_chunks(), dims)[0], k + 1
+        qi = np.zeros(0, np.int64)
+        key, low, high = np.zeros(0, "V16"), np.zeros(0), np.zeros(0)
+        for r in codes.select(["keys", "codes", "scalars"]).to_pylist():
+            keys = np.frombuffer(r["keys"], "V16")
+            norms, own, centred = np.frombuffer(r["scalars"]).reshape(3, -1)
+            est, err = estimate(np.frombuffer(r["codes"], np.uint8).reshape(len(keys), -1), norms, own, centred, unit, centre, turn)
+            lower, some = est - err, min(most, len(keys))
+            floor = np.partition(lower, len(keys) - some, axis=1)[:, len(keys) - some] if some == most else np.full(len(unit), -np.inf)
+            i, c = np.nonzero(est + err >= floor[:, None])
+            qi, key = np.concatenate([qi, i]), np.concatenate([key, keys[c]])
+            low, high = np.concatenate([low, lower[i, c]]), np.concatenate([high, (est + err)[i, c]])
+            order = np.lexsort((-low, qi))  # what may still be among the best of each query
+            qi, key, low, high = qi[order], key[order], low[order], high[order]
+            first = np.searchsorted(qi, np.arange(len(unit)))
+            at = first + most - 1
+            full = (at < len(qi)) & (np.append(qi, -1)[np.minimum(at, len(qi))] == np.arange(len(unit)))
+            floor = np.where(full, low[np.minimum(at, len(low) - 1)], -np.inf)
+            stay = high >= floor[qi]
+            qi, key, low, high = qi[stay], key[stay], low[stay], high[stay]
+        qkeys = asked.column("key").combine_chunks()
+        return pa.table([qkeys.take(pa.array(qi)), pa.array([x.tobytes() for x in key], pa.binary()), pa.array(low), pa.array(high)], ["qkey", "key", "low", "high"])
+
+    met = left.groupBy("q", "g").cogroup(right.groupBy("q", "g")).applyInArrow(scan, "qkey binary, key binary, low double, high double")
+    found = written(met, "ann-bounds")
+    kth = F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("low")))
+    floors = found.withColumn("r", kth).filter(F.col("r") <= k + 1).groupBy("qkey").agg(F.count("*").alias("c"), F.min("low").alias("floor"))
+    left_over = found.join(floors, "qkey").filter((F.col("c") <= k) | (F.col("high") >= F.col("floor"))).select("qkey", "key")
+
+    def rank(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_cosines(b.column(2), b.column(3), dims))], ["qkey", "key", "score"])
+
+    pairs = left_over.join(classes, "key").join(asked.select(F.col("key").alias("qkey"), F.col("e").alias("q")), "qkey").select("qkey", "key", "e", "q")
+    ranked = written(pairs.mapInArrow(trimmed(rank), "qkey binary, key binary, score double"), "ann-found")
     first = members.filter("n = 1").select("key", F.col("vec_id").alias("first"))
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "first")
-    found = found.join(first, "key").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
-    each = found.join(members.select("key", "vec_id"), "key").select("qkey", "vec_id", "score")
+    top = ranked.join(first, "key").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    each = top.join(members.select("key", "vec_id"), "key").select("qkey", "vec_id", "score")
     each = each.withColumn("r", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     lists = each.groupBy("qkey").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+    drop_written(coded, found)
     out = queries.join(lists, queries.key == lists.qkey).select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x.vec_id != F.col("query_id")), 1, k)).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
 
+def _cosines(a: pa.Array, b: pa.Array, dims: int) -> np.ndarray:
+    """Row by row, in double precision on the vectors as they are."""
+    x, y = (np.ascontiguousarray(c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims), np.float64) for c in (a, b))
+    return (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
