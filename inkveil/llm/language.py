@@ -4,12 +4,14 @@ Text likelihoods are multinomial over hashed byte trigrams, learnt from document
 From the text alone each page gets a first posterior. Grouped sums of these over declared languages,
 address suffixes, domains and hosts give what a declared language says, and a prior for each host that is
 smoothed towards its domain, its suffix and the whole: Dirichlet counts, level by level. A page's own share is
-taken out of its host's sums before they become its prior, so that no evidence counts twice.
+taken out of the sums of every level and of what its declared language says, so that no evidence counts twice.
 
 Defined cases: a null or broken address has no host and takes the prior of the whole; null html is empty and
-leaves priors and nothing else; an unknown or missing declared language is a value like any other; ties go to
-the first language in order; equal pages give equal results; without labelled documents there are no
-languages, and lang is null; an empty table gives no rows; other columns are ignored.
+leaves priors and nothing else; very long pages are read whole, and their text counts for MOST_TRIGRAMS at most; an
+unknown or missing declared language is a value like any other; ties go to the first language in order; equal pages
+give equal results, also of one id; without labelled documents there are no languages, and lang is null; an empty
+table gives no rows; other columns are ignored, whatever their names. Languages are those of the sample's documents;
+of more than MOST_LANGUAGES, those with the most text.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import small_batches, table, trimmed, utf8_slices, written
+from inkveil.llm.common import guarded, small_batches, table, trimmed, utf8_slices, written
 
 #: Trigram classes; documents learnt from (a bound, spread over the table by hash); weight of a dependent
 #: trigram against an independent one, and the most trigrams that a text may count for.
 CLASSES, SAMPLE_ROWS, TEMPER, MOST_TRIGRAMS = 1 << 15, 8000, 0.3, 400.0
+#: Languages that are told apart at most.
+MOST_LANGUAGES = 200
 #: Dirichlet weights of the level above, for suffixes, domains and hosts, and of one declared language.
 STRENGTH, DECLARED_STRENGTH = (20.0, 10.0, 5.0), 1.0
 
@@ -62,6 +66,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], n
 
     rows = known.select("lang", "text").mapInArrow(trimmed(run), "lang string, i int, n long").groupBy("lang", "i").agg(F.sum("n").alias("n"))
     got = rows.groupBy("lang").agg(F.collect_list("i").alias("i"), F.collect_list("n").alias("n")).collect()
+    got = sorted(got, key=lambda r: (-sum(r.n), r.lang))[:MOST_LANGUAGES]
     langs = sorted(r.lang for r in got)
     counts = np.full((len(langs), CLASSES), 0.1)
     for r in got:
@@ -108,31 +113,35 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     sums = lambda tag: [F.sum(f"p{i}").alias(f"{tag}{i}") for i in range(k)]
     arr = lambda tag: F.array(*[F.col(f"{tag}{i}") for i in range(k)])
     whole = first.agg(*sums("s")).first()
-    mass = np.array([whole[i] or 0.0 for i in range(k)]) + 1.0
-    base = F.array(*[F.lit(float(x)) for x in mass / mass.sum()])
+    mass = F.array(*[F.lit(float(whole[i] or 0.0) + 1.0) for i in range(k)])
+    none = F.array(*[F.lit(0.0)] * k)
+    of = lambda counts: F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
 
     def smooth(counts: Column, above: Column, strength: float) -> Column:
-        total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, above, lambda c, p: (F.greatest(c, F.lit(0.0)) + strength * p) / (F.greatest(total, F.lit(0.0)) + strength))
+        return F.zip_with(counts, above, lambda c, p: (c + strength * p) / (of(counts) + strength))
 
     def level(*keys: str) -> DataFrame:
         return first.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(*sums("s")).select(*keys, arr("s").alias(f"{keys[-1]}_n"))
 
-    # One row a host: counts of the host, and the smoothed prior of the levels above it.
-    up = level("suffix").withColumn("up_suffix", smooth(F.col("suffix_n"), base, STRENGTH[0])).drop("suffix_n")
-    mid = level("suffix", "domain").join(up, "suffix").withColumn("up_domain", smooth(F.col("domain_n"), F.col("up_suffix"), STRENGTH[1])).select("suffix", "domain", "up_domain")
+    # One row a host: its sums, and those of the levels above it.
     low = first.filter(F.col("host").isNotNull()).groupBy("host").agg(F.first("domain").alias("domain"), F.first("suffix").alias("suffix"), *sums("s")).select("host", "domain", "suffix", arr("s").alias("host_n"))
-    low = low.join(up, "suffix", "left").join(mid, ["suffix", "domain"], "left").select("host", "host_n", F.coalesce("up_domain", "up_suffix", base).alias("above"))
-    said = first.groupBy("declared").agg(*sums("s")).select("declared", arr("s").alias("said_n"))
-    out = first.join(low, "host", "left").join(said, "declared", "left")
+    low = low.join(level("suffix"), "suffix", "left").join(level("suffix", "domain"), ["suffix", "domain"], "left").select(F.col("host").alias("at"), "host_n", "domain_n", "suffix_n")
+    low = guarded(written(low, "lang-hosts"), 64 + 24 * k)
+    said = guarded(written(first.groupBy("declared").agg(*sums("s")).select(F.col("declared").alias("says"), arr("s").alias("said_n")), "lang-declared"), 64 + 8 * k)
+    # A page without a host meets none; keys of their own keep such pages from one task.
+    key = F.coalesce("host", F.concat(F.lit("\0"), F.pmod(F.xxhash64("page_id", "declared"), F.lit(4096)).cast("string")))
+    out = first.join(low, key == F.col("at"), "left").join(said, F.col("declared") == F.col("says"), "left")
     own = arr("p")
-    minus = lambda col: F.zip_with(col, own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    prior = F.when(F.col("host_n").isNull(), base).otherwise(smooth(minus(F.col("host_n")), F.col("above"), STRENGTH[2]))
+    minus = lambda col: F.zip_with(F.coalesce(col, none), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    rest = F.zip_with(mass, own, lambda a, b: F.greatest(a - b, F.lit(1e-9)))
+    out = out.withColumn("rest", rest).withColumn("prior", F.transform("rest", lambda x: x / of(F.col("rest"))))
+    for tag, strength in zip(("suffix_n", "domain_n", "host_n"), STRENGTH):
+        out = out.withColumn(tag, minus(F.col(tag))).withColumn("prior", smooth(F.col(tag), F.col("prior"), strength))
     # P(declared | language): the declared value's mass over the language's whole mass, smoothed by its overall share.
-    share = F.aggregate("said_n", F.lit(0.0), lambda a, x: a + x) / F.lit(float(mass.sum()))
-    totals = F.array(*[F.lit(float(x)) for x in mass])
-    says = F.zip_with(minus(F.col("said_n")), totals, lambda a, t: F.log((a + DECLARED_STRENGTH * share) / (t + DECLARED_STRENGTH)))
-    score = F.zip_with(F.zip_with("evidence", F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b), says, lambda a, b: a + b)
+    out = out.withColumn("said_n", minus(F.col("said_n")))
+    share = F.greatest(of(F.col("said_n")), F.lit(1.0)) / of(F.col("rest"))
+    says = F.zip_with("said_n", "rest", lambda a, t: F.log((a + DECLARED_STRENGTH * share) / (t + DECLARED_STRENGTH)))
+    score = F.zip_with(F.zip_with("evidence", F.transform("prior", lambda p: F.log(p)), lambda a, b: a + b), says, lambda a, b: a + b)
     out = out.withColumn("score", score).withColumn("top", F.array_max("score"))
     total = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     names_col = F.array(*[F.lit(x) for x in langs])

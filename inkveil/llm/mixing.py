@@ -5,8 +5,8 @@ threshold lies is found without sorting: token sums by source and hash bucket, t
 running sum passes the budget, then the same inside that bucket alone, until the hash is used up.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; rows that agree
-in id and text share one hash and divide what is left at the threshold; an empty table gives no rows;
-columns other than doc_id, text and source are ignored.
+in id and text share one hash and divide what is left at the threshold; very long texts count whole; an empty table
+gives no rows; columns other than doc_id, text and source are ignored, whatever their names.
 """
 
 from __future__ import annotations

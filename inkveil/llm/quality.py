@@ -6,8 +6,9 @@ partition by partition; shrunk covariances and their Cholesky factors come from
 logistic of the difference of the two log densities, by Mahalanobis distances, plus the log ratio of classes.
 
 Defined cases: null text is empty; an empty text has statistics like any other and so a score; labels that
-are null are left out; several labels of a document count each; without labels of both classes every score is
-the share of label 1, or 0.5 if there are none; an empty table gives no rows; other columns are ignored.
+are null are left out; several labels of a document count each, and so do labelled rows that repeat an id; very long
+texts are read whole; without labels of both classes every score is the share of label 1, or 0.5 if there are none;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,12 +9,17 @@ checking pairs, and each pair is checked once by merging.
 
 Characters that no piece contains, and a word-start mark after another character when no piece has one
 there, set the state back. Between two such places the transducer always starts from the same states, so
-what it emits for such a unit is kept in a table. A long text is cut into chunks. A chunk's state map is
-(unit still open at its start, tokens of its closed units, unit open at its end); maps compose
-associatively, so they are combined by a parallel prefix scan in a logarithmic number of rounds.
+what it emits for such a unit is kept in a table.
 
-Defined cases: null text is empty; an empty text has no tokens; repeated rows are counted each on their own;
-an empty table gives no rows; columns other than doc_id and text are ignored.
+A long text is cut into chunks, each with a state map: from the state at its start to the state at its end and the
+tokens emitted between. A map holds the run from the text's first state and the states of its first characters; from
+another state, the transducer runs on until it meets the run's state at the same place, soon as a rule, and takes the
+rest from there. Maps compose associatively, two by two in a logarithmic number of rounds: the upward half of a
+parallel prefix scan, as the whole alone is asked for. Work and memory are linear in a text, with or without spaces.
+
+Defined cases: null text is empty; an empty text has no tokens; repeated rows are counted each on their own; very
+long texts are counted whole, within one task; an empty table gives no rows; columns other than doc_id and text are
+ignored, whatever their names. A model that is not a BPE one without normalisation is refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -29,7 +34,9 @@ from inkveil.llm.common import small_batches, table, trimmed
 
 LIMIT = 4096
 #: Characters of a chunk; bounds of the tables that one Python worker keeps, which are emptied when full.
-CHUNK, MAX_UNITS, MAX_STATES, MAX_PAIRS = 1 << 16, 350_000, 150_000, 250_000
+CHUNK, MAX_UNITS, MAX_STATES, MAX_PAIRS = 1 << 16, 200_000, 100_000, 200_000
+#: First characters of a chunk at which its map knows the states.
+TRACE = 256
 SPACE = "▁"
 START, BYTES = -1, -2  # "last tokens" that merge with nothing
 
@@ -44,7 +51,8 @@ class Transducer:
         self.halves: dict[str, list[str]] = {}  # what the last joining of a piece joined
         self.pairs: dict[tuple[int, int], bool] = {}
         inner_mark = any(SPACE in p.lstrip(SPACE) for p in self.score)
-        assert not inner_mark, "pieces with a word-start mark inside aren't supported"
+        if inner_mark:
+            raise ValueError("pieces with a word-start mark inside aren't supported")
         self.known = {c for p in self.score for c in p}
         for i, p in enumerate(self.text):
             if len(p) > 1:
@@ -134,21 +142,73 @@ class Transducer:
                         last, count = t, less + 1
                     if self.trie[to]:
                         moved.append((to, before, less))
-            assert last is not None, f"no piece ends at {c!r}"
+            if last is None:
+                raise ValueError(f"no piece ends at {c!r}")
             out = (self.state((*((n, b, less - count) for n, b, less in moved), (0, last, 0))), count)
         state[c] = out
         return out
 
     def count(self, unit: str) -> int:
-        state, total = self.state(((0, START, 0),)), 0
+        state, total = self.state(FIRST), 0
         for c in unit:
             state, emitted = state.get(c) or self.step(state, c)
             total += emitted
         return total
 
 
+FIRST = ((0, START, 0),)
+
+
+class ChunkMap:
+    """State at the start to state at the end and tokens between, of a chunk."""
+
+    def __init__(self, machine: Transducer, text: str):
+        self.machine, self.text, self.trace = machine, text, []
+        state, total = machine.state(FIRST), 0
+        for i, c in enumerate(text):
+            state, emitted = state.get(c) or machine.step(state, c)
+            total += emitted
+            if i < TRACE:
+                self.trace.append((state[""], total))
+        self.end, self.tokens = state[""], total
+
+    def apply(self, key: tuple) -> tuple[tuple, int]:
+        if key == FIRST:
+            return self.end, self.tokens
+        state, total = self.machine.state(key), 0
+        for i, c in enumerate(self.text):
+            state, emitted = state.get(c) or self.machine.step(state, c)
+            total += emitted
+            if i < TRACE and state[""] == self.trace[i][0]:
+                return self.end, total + self.tokens - self.trace[i][1]
+        return state[""], total
+
+
+class JoinedMap:
+    """Two maps one after the other."""
+
+    def __init__(self, a: ChunkMap | JoinedMap, b: ChunkMap | JoinedMap):
+        self.a, self.b = a, b
+        self.end, n = b.apply(a.end)
+        self.tokens = a.tokens + n
+
+    def apply(self, key: tuple) -> tuple[tuple, int]:
+        at, n = self.a.apply(key)
+        if at == self.a.end:  # from here on as in the run from the first state
+            return self.end, n + self.tokens - self.a.tokens
+        end, m = self.b.apply(at)
+        return end, n + m
+
+
+def composed(maps: list) -> ChunkMap | JoinedMap:
+    """Neighbours joined, round by round."""
+    while len(maps) > 1:
+        maps = [JoinedMap(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
 class Counter(dict):
-    """Tokens of units; a chunk's map is (head, tokens, tail), or (head, None, "") when it holds no place to cut."""
+    """Tokens of units, kept in two generations."""
 
     def __init__(self, machine: Transducer):
         self.machine, self.old = machine, {}
@@ -174,43 +234,13 @@ class Counter(dict):
             self[unit] = n
         return n
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        units = self.units.findall(chunk)
-        if len(units) < 3:
-            return chunk, None, ""
-        return units[0], sum(map(self.__getitem__, units[1:-1])), units[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None:
-            joined = self.chunk_map(a[0] + b[0])
-            if b[1] is None or joined[1] is None:
-                return (joined if b[1] is None else (a[0] + b[0], b[1], b[2]))
-            return joined[0], joined[1] + self[joined[2]] + b[1], b[2]
-        if b[1] is None:
-            inner = self.units.findall(a[2] + b[0])
-            return a[0], a[1] + sum(map(self.__getitem__, inner[:-1])), inner[-1] if inner else ""
-        return a[0], a[1] + sum(map(self.__getitem__, self.units.findall(a[2] + b[0]))) + b[1], b[2]
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix scan in rounds of doubling stride."""
-        stride = 1
-        while stride < len(maps):
-            maps = [self.compose(maps[i - stride], m) if i >= stride else m for i, m in enumerate(maps)]
-            stride *= 2
-        return maps
-
-    def finish(self, m: tuple) -> int:
-        if m[1] is None:
-            return sum(map(self.__getitem__, self.units.findall(m[0])))
-        return self[m[0]] + m[1] + self[m[2]] if m[2] else self[m[0]] + m[1]
-
     def tokens(self, text: str, chunk: int = CHUNK) -> int:
         if not text:
             return 0
         text = SPACE + text.replace(" ", SPACE)
         if len(text) <= chunk:
             return sum(map(self.__getitem__, self.units.findall(text)))
-        return self.finish(self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1])
+        return composed([ChunkMap(self.machine, text[i : i + chunk]) for i in range(0, len(text), chunk)]).tokens
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -226,7 +256,8 @@ def counter(path: str) -> Counter:
             model.ParseFromString(f.read())
         kinds = {p.type for p in model.pieces}
         spec = model.normalizer_spec
-        assert model.trainer_spec.model_type == 2 and kinds <= {1, 2, 3, 6} and not spec.precompiled_charsmap and spec.add_dummy_prefix and not spec.remove_extra_whitespaces
+        if model.trainer_spec.model_type != 2 or not kinds <= {1, 2, 3, 6} or spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces:
+            raise ValueError(f"{path} is not a BPE model without normalisation")
         alone = {i for i, p in enumerate(model.pieces) if p.type != 1}
         _COUNTERS[path] = Counter(Transducer([p.piece for p in model.pieces], [p.score for p in model.pieces], alone))
     return _COUNTERS[path]
