@@ -9,8 +9,8 @@ the identifiers of a document, in order, are matched against ordered rules, each
 first rule of the list that occurs is the document's license; all rules that occur are kept beside it.
 
 Defined cases: null and empty texts have no sentences, an empty list and a null license; repeated sentences
-count each; rows that repeat an id each give a row; an empty table gives no rows; columns other than doc_id
-and text are ignored.
+count each; very long texts are scanned whole; rows that repeat an id each give a row; an empty table gives no rows;
+columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,38 +28,68 @@ SENTENCES = {
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mit-see": "Licensed under the MIT License, see LICENSE.",
+    "mit-file": "This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree.",
+    "mit-use": "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
     "apache-licensed": "Licensed under the Apache License, Version 2.0.",
     "apache-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
     "apache-disclaimer": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "apache-copy": "You may obtain a copy of the License at",
+    "apache-limits": "See the License for the specific language governing permissions and limitations under the License.",
+    "apache-v2-see": "Licensed under the Apache License, Version 2.0, see LICENSE.",
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3.",
     "gpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
+    "gpl-details": "See the GNU General Public License for more details.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-use": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "cc-by-nc-licensed": "Licensed under CC BY-NC 4.0.",
     "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "cc-by-licensed": "Licensed under CC BY 4.0.",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-licensed": "Licensed under CC BY-SA 4.0.",
     "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: Rules in order of precedence: name, license, run of sentence identifiers.
 RULES = [
+    ("mit-whole", "MIT", "mit-grant mit-notice mit-warranty mit-liability"),
     ("mit-text", "MIT", "mit-grant mit-notice mit-warranty"),
+    ("apache-2.0-whole", "Apache-2.0", "apache-header apache-copy apache-disclaimer apache-limits"),
     ("apache-2.0-header", "Apache-2.0", "apache-header apache-disclaimer"),
     ("gpl-3.0-header", "GPL-3.0-or-later", "gpl3-free gpl-warranty"),
     ("gpl-2.0-header", "GPL-2.0-or-later", "gpl2-free gpl-warranty"),
+    ("agpl-3.0-header", "AGPL-3.0-or-later", "agpl3-free"),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", "lgpl21-free"),
+    ("lgpl-3.0-header", "LGPL-3.0-or-later", "lgpl3-free"),
+    ("bsd-3-clause-whole", "BSD-3-Clause", "bsd-redistribution bsd-source bsd-binary bsd-endorse"),
     ("bsd-3-clause-text", "BSD-3-Clause", "bsd-redistribution bsd-endorse"),
+    ("bsd-2-clause-whole", "BSD-2-Clause", "bsd-redistribution bsd-source bsd-binary"),
     ("isc-text", "ISC", "isc-grant"),
     ("gpl-3.0-work", "GPL-3.0-only", "gpl3-work"),
     ("gpl-3.0-free", "GPL-3.0-or-later", "gpl3-free"),
     ("gpl-2.0-free", "GPL-2.0-or-later", "gpl2-free"),
     ("apache-2.0-licensed", "Apache-2.0", "apache-licensed"),
     ("apache-2.0-notice", "Apache-2.0", "apache-header"),
+    ("apache-2.0-see", "Apache-2.0", "apache-v2-see"),
     ("mit-released", "MIT", "mit-release"),
+    ("mit-see", "MIT", "mit-see"),
+    ("mit-file", "MIT", "mit-file"),
+    ("mit-style", "MIT", "mit-use"),
+    ("bsd-style", "BSD-3-Clause", "bsd-use"),
     ("mit-licensed", "MIT", "mit-licensed"),
     ("mit-permission", "MIT", "mit-grant"),
     ("bsd-redistribution", "BSD-2-Clause", "bsd-redistribution"),
@@ -72,7 +102,7 @@ RULES = [
     ("unlicense", "Unlicense", "unlicense"),
 ]
 #: Each known sentence holds one of these, lower-cased; texts without any are not cut at all.
-HINTS = ("licen", "permission", "warranty", "redistribut", "public domain")
+HINTS = ("licen", "permission", "warrant", "redistribut", "public domain", "liab", "mozilla")
 
 
 def _pieces(sentence: str) -> list[str]:

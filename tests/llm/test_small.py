@@ -178,6 +178,11 @@ def test_wrapped_and_commented_licenses(spark):
         (wrap("/* ", "apache-header") + wrap("   ", "apache-disclaimer"), "Apache-2.0"),
         ("This Source Code Form is subject to the terms of the Mozilla Public License, v.\n * 2.0. If", "MPL-2.0"),
         (" ".join(s[i] for i in ("mit-grant", "mit-notice", "mit-warranty")), "MIT"),
+        (wrap("", "bsd-redistribution") + "1. " + wrap("", "bsd-source") + "2. " + wrap("", "bsd-binary") + wrap("", "bsd-warranty"), "BSD-2-Clause"),
+        (wrap("# ", "lgpl21-free", "lgpl-warranty"), "LGPL-2.1-or-later"),
+        (wrap("", "agpl3-free"), "AGPL-3.0-or-later"),
+        ("x. Licensed under the MIT License, see LICENSE.", "MIT"),
+        (wrap("", "apache-header", "apache-copy") + "    http://www.apache.org/licenses/LICENSE-2.0\n\n" + wrap("", "apache-disclaimer", "apache-limits"), "Apache-2.0"),
         ("A heading\nReleased under the MIT License.", "MIT"),
         ("It is not released under the MIT License.", None),
         ("Released under\n\nthe MIT License.", None),
