@@ -3,10 +3,11 @@
 Unit vectors are centred, padded to CODE_BITS dimensions and rotated by a seeded random orthogonal matrix; a
 code keeps one sign bit for each dimension, and beside it the distance from the centre and the inner product
 of the vector with its code. From these follow an unbiased estimate of a cosine and a bound of its error.
-Every vector is coded where it lies; codes and scalars alone are sent to the stated queries, in blocks. A task
-meets a block of queries with GROUP blocks of codes, one after another, and keeps of each query what its upper
-bound lets reach the K-th best lower bound so far. What is left after all tasks is ranked again by exact cosines
-in double precision, for which the few vectors left are fetched.
+Every vector is coded where it lies; its code, its components rounded to one byte each and a few scalars are
+sent to the stated queries, in blocks. A task meets a block of queries with GROUP blocks of codes, one after another.
+What the upper bound of its code lets reach a query's K-th best lower bound so far is ranked again by the rounded
+components, with the exact bound that the length of the rounding error gives. What is left after all tasks, little
+more than K a task, is ranked by exact cosines in double precision, for which those vectors are fetched.
 
 Equal vectors form one class, of which the smallest ids are kept: a class of any size costs one code.
 
@@ -28,6 +29,8 @@ K, EVERY, SEED = 5, 50, 20240
 #: Bits of a code (a vector's own dimensions, if more), and the width of the error bound in standard deviations.
 CODE_BITS, SPREAD = 256, 3.0
 CODE_BLOCK, QUERY_BLOCK, GROUP = 4096, 1024, 32
+#: Queries that are estimated against a block at once.
+AT_ONCE = 128
 
 
 def rotation(dims: int, bits: int, seed: int = SEED) -> np.ndarray:
@@ -59,6 +62,17 @@ def estimate(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, centred: np.n
     return scale * inner + centred + (queries @ centre)[:, None] - centre @ centre, scale * error + 1e-6
 
 
+#: Of each vector: distance from the centre, inner products with its code and the centre, step and error length of its rounded components.
+SCALARS = ("norm", "own", "centred", "step", "off")
+
+
+def rounded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components in 127ths of the largest, that step, and a bound of what an inner product with another unit vector may be off."""
+    step = np.abs(unit).max(axis=1) / 127
+    fine = np.rint(unit / step[:, None]).astype(np.int8)
+    return fine, step, np.linalg.norm(unit - fine * step[:, None], axis=1) + 1e-5
+
+
 def centre_of(classes: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     """Mean of the unit vectors, and their number: a row of sums a task."""
 
@@ -109,16 +123,18 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bits: int = CODE
             unit = _units(b.column(1), dims)[0]
             if len(unit):
                 codes, norms, own = encode(unit, centre, turn)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(own.astype(np.float64)), pa.array(unit @ centre)], ["key", "code", "norm", "own", "centred"])
+                fine, step, off = rounded(unit)
+                blobs = [pa.array([c.tobytes() for c in x], pa.binary()) for x in (codes, fine)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *blobs, *[pa.array(x.astype(np.float64)) for x in (norms, own, unit @ centre, step, off)]], ["key", "code", "fine", *SCALARS])
 
     def pack(t: pa.Table) -> pa.Table:
         """A block of codes as one row."""
         blob = lambda c: b"".join(t.column(c).to_pylist())
-        scalars = np.stack([t.column(c).to_numpy() for c in ("norm", "own", "centred")])
-        return pa.table([t.column("b")[:1], pa.array([blob("key")], pa.binary()), pa.array([blob("code")], pa.binary()), pa.array([scalars.tobytes()], pa.binary())], ["b", "keys", "codes", "scalars"])
+        scalars = np.stack([t.column(c).to_numpy() for c in SCALARS])
+        return pa.table([t.column("b")[:1], *[pa.array([x], pa.binary()) for x in (blob("key"), blob("code"), blob("fine"), scalars.tobytes())]], ["b", "keys", "codes", "fine", "scalars"])
 
-    coded = classes.mapInArrow(trimmed(code), "key binary, code binary, norm double, own double, centred double").withColumn("b", block(code_blocks))
-    coded = written(coded.groupBy("b").applyInArrow(pack, "b long, keys binary, codes binary, scalars binary"), "ann-codes")
+    coded = classes.mapInArrow(trimmed(code), "key binary, code binary, fine binary, " + ", ".join(f"{c} double" for c in SCALARS)).withColumn("b", block(code_blocks))
+    coded = written(coded.groupBy("b").applyInArrow(pack, "b long, keys binary, codes binary, fine binary, scalars binary"), "ann-codes")
     # Each block of codes meets each block of queries; a task has one block of queries and one group of code blocks.
     left = coded.withColumn("g", F.floor(F.col("b") / GROUP)).withColumn("q", upto(query_blocks))
     right = asked.withColumn("q", block(query_blocks)).withColumn("g", upto(groups))
@@ -127,24 +143,31 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, bits: int = CODE
         if not len(codes) or not len(asked):
             return pa.table([pa.array([], pa.binary()), pa.array([], pa.binary()), pa.array([], pa.float64()), pa.array([], pa.float64())], ["qkey", "key", "low", "high"])
         unit, most = _units(asked.column("e").combine_chunks(), dims)[0], k + 1
-        qi = np.zeros(0, np.int64)
-        key, low, high = np.zeros(0, "V16"), np.zeros(0), np.zeros(0)
-        for r in codes.select(["keys", "codes", "scalars"]).to_pylist():
+        best = np.full(len(unit), -np.inf)  # of each query, the K-th best lower bound so far, itself counted
+        qi, key, low, high = np.zeros(0, np.int64), np.zeros(0, "V16"), np.zeros(0), np.zeros(0)
+        for r in codes.select(["keys", "codes", "fine", "scalars"]).to_pylist():
             keys = np.frombuffer(r["keys"], "V16")
-            norms, own, centred = np.frombuffer(r["scalars"]).reshape(3, -1)
-            est, err = estimate(np.frombuffer(r["codes"], np.uint8).reshape(len(keys), -1), norms, own, centred, unit, centre, turn)
-            lower, some = est - err, min(most, len(keys))
-            floor = np.partition(lower, len(keys) - some, axis=1)[:, len(keys) - some] if some == most else np.full(len(unit), -np.inf)
-            i, c = np.nonzero(est + err >= floor[:, None])
-            qi, key = np.concatenate([qi, i]), np.concatenate([key, keys[c]])
-            low, high = np.concatenate([low, lower[i, c]]), np.concatenate([high, (est + err)[i, c]])
-            order = np.lexsort((-low, qi))  # what may still be among the best of each query
+            norms, own, centred, step, off = np.frombuffer(r["scalars"]).reshape(len(SCALARS), -1)
+            bits_ = np.frombuffer(r["codes"], np.uint8).reshape(len(keys), -1)
+            fine = np.frombuffer(r["fine"], np.int8).reshape(len(keys), -1).astype(np.float32) * step[:, None].astype(np.float32)
+            for x in range(0, len(unit), AT_ONCE):
+                some = unit[x : x + AT_ONCE]
+                est, err = estimate(bits_, norms, own, centred, some, centre, turn)
+                floor = best[x : x + AT_ONCE]
+                if len(keys) >= most:
+                    floor = np.maximum(floor, np.partition(est - err, len(keys) - most, axis=1)[:, len(keys) - most])
+                i, c = np.nonzero(est + err >= floor[:, None])
+                near = np.einsum("ij,ij->i", some.astype(np.float32)[i], fine[c]).astype(np.float64)
+                stay = near + off[c] >= best[x + i]
+                i, c, near = i[stay], c[stay], near[stay]
+                qi, key = np.concatenate([qi, x + i]), np.concatenate([key, keys[c]])
+                low, high = np.concatenate([low, near - off[c]]), np.concatenate([high, near + off[c]])
+            order = np.lexsort((-low, qi))
             qi, key, low, high = qi[order], key[order], low[order], high[order]
-            first = np.searchsorted(qi, np.arange(len(unit)))
-            at = first + most - 1
+            at = np.searchsorted(qi, np.arange(len(unit))) + most - 1
             full = (at < len(qi)) & (np.append(qi, -1)[np.minimum(at, len(qi))] == np.arange(len(unit)))
-            floor = np.where(full, low[np.minimum(at, len(low) - 1)], -np.inf)
-            stay = high >= floor[qi]
+            best = np.where(full, np.append(low, 0)[np.minimum(at, len(low))], best)
+            stay = high >= best[qi]
             qi, key, low, high = qi[stay], key[stay], low[stay], high[stay]
         qkeys = asked.column("key").combine_chunks()
         return pa.table([qkeys.take(pa.array(qi)), pa.array([x.tobytes() for x in key], pa.binary()), pa.array(low), pa.array(high)], ["qkey", "key", "low", "high"])
