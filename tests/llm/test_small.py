@@ -115,6 +115,46 @@ def test_mpeg_round_trip_and_resync():
     assert mpeg_audio.parse(b"")["seconds"] == 0.0
 
 
+def test_mpeg_foreign_streams(spark):
+    """Layers I and II, VBRI, ID3v2.2, delays: streams put together by hand."""
+    M = mpeg_audio
+    frame = lambda h, body=b"": (h.to_bytes(4) + body).ljust(M.header_fields(h)["length"], b"\0")
+    one, two = 0xFFFF << 16 | 5 << 12 | 3 << 6, 0xFFFD << 16 | 4 << 12 | 1 << 10  # Layer I 44.1 kHz mono, Layer II 48 kHz, unprotected
+    assert M.header_fields(one)["length"] == (12 * 160000 // 44100) * 4 and M.header_fields(two)["length"] == 144 * 64000 // 48000
+    a = M.parse(frame(one) * 5)
+    assert (a["layer"], a["frames"], a["samples"], a["seconds"], a["checks"]) == (1, 5, 1920, 1920 / 44100, 0)
+    guarded = one & ~(1 << 16)
+    crc = M.frame_crc(guarded.to_bytes(4)[2:] + bytes(16))
+    x = M.parse(frame(guarded, crc.to_bytes(2)) * 3 + frame(guarded, b"\1\1"))
+    assert (x["checks"], x["bad_checks"]) == (4, 1)
+    tag = b"TT2" + (6).to_bytes(3) + b"\0title"
+    b = M.parse(b"ID3\x02\0\0" + M._synchsafe(len(tag)) + tag + b"junk" + frame(two) * 4)
+    assert b["tags"] == {"TIT2": "title"} and (b["layer"], b["frames"], b["samples"], b["skipped"]) == (2, 4, 4608, 4)
+    assert M.parse(frame(two & ~(1 << 16)) * 4)["unchecked"] == 4
+    three = 0xFFFB << 16 | 9 << 12
+    n = M.header_fields(three)["length"]
+    vbri = bytes(32) + b"VBRI" + (1).to_bytes(2) + (1105).to_bytes(2) + bytes(2) + (9 * n).to_bytes(4) + (8).to_bytes(4) + b"".join(v.to_bytes(2) for v in (2, 1, 2, 4)) + (4 * n).to_bytes(2) * 2
+    c = M.parse(frame(three, vbri) + frame(three) * 8)
+    assert (c["frames"], c["vbr"]["frames"], c["vbr"]["toc"], c["samples"]) == (8, 8, [4 * n, 4 * n], 8 * 1152)
+    assert [o for _, o in c["offsets"]] == [n * i for i in range(1, 9)] and c["played_seconds"] == (8 * 1152 - 1105) / 44100
+    xing = bytes(32) + b"Xing" + (1).to_bytes(4) + (3).to_bytes(4) + b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3)
+    d = M.parse(frame(three, xing) + frame(three) * 3)
+    assert d["frames"] == 3 and d["played_seconds"] == (3 * 1152 - 1576) / 44100 and d["seconds"] == 3 * 1152 / 44100
+    rows = spark.createDataFrame([(1, frame(one) * 5), (2, None), (3, b"\xff" * 50)], "doc_id long, media binary")
+    got = M.probe(rows).orderBy("doc_id").collect()
+    assert [(r.frames, r.layer, len(r.offsets)) for r in got] == [(5, 1, 5), (0, 0, 0), (0, 0, 0)]
+
+
+def test_mpeg_digest_row():
+    for t in (None, "", "x" * 64, "é" * 5000):
+        raw = (t or "").encode()
+        n, size, sha, tail, media, media_sha, feature = mpeg_audio.digest_row(t)
+        want = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        x = json.loads(feature)
+        assert (n, size, sha) == (len(raw), len(want), hashlib.sha256(want).hexdigest()) and x["bad_checks"] == x["skipped"] == 0
+        assert x["frames"] == x["vbr_frames"] == x["seek_points"] == x["checks"] - 1 and x["samples"] == 1152 * x["frames"]
+
+
 def test_quality_flat_and_scores(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.classify(docs, none).collect()} == {0.5}
