@@ -1,20 +1,24 @@
 """Exact repeats: every byte that a 400-byte string covers which also starts elsewhere, and passages of over 50 words that other documents hold.
 
-Both are one search over strings of a fixed number of units, which are bytes or words. Winnowing gives each
-string an anchor that depends on the string alone: the rightmost least hash of its first positions. An anchor
-whose following context occurs once can't belong to a repeated string, so only strings at the other anchors are
-looked at, whole: their hashes are dealt by value over buckets, sorted and counted there next to their equals,
-and each chunk of documents gets back one bit for each of its strings. Rows of equal texts are one text with a
-number of copies, which is searched once; what a batch holds of one context is one row.
+Both are one search over strings of a fixed number of units, which are bytes or words, by suffix order:
 
-The operator is not a difference-cover sort: see README, and suffixes.py for that method and its figures.
+* Winnowing gives each string an anchor that depends on the string alone: the rightmost least hash of its first
+  positions. Strings of one anchor lie side by side; what they cover is the anchor's stretch. The units that every
+  string of an anchor holds, from the anchor on, are its context: equal strings have equal anchors and contexts, so
+  an anchor whose context occurs once repeats nothing, and contexts deal the suffixes to independent groups.
+* A group whose stretches are all equal repeats whole. In any other group the distinct stretches are sorted as
+  suffixes by a difference cover (suffixes.py: sampled triples, recursion on names, merging of the rest), many
+  groups in one string, and neighbours in that order are compared over the string's length, unit by unit.
+* A group of more than CROWD stretches is first split in two by the place of the anchor in a string, either half with
+  a longer context, again and again; at the last a context is the whole string. So no task grows with a group.
 
-Strings are told apart by 64-bit hashes of all their units, texts by 64-bit hashes and lengths.
+Rows of equal texts are one text with a number of copies, and what a batch holds of one stretch is one row. Contexts
+and whole stretches are told apart by 64-bit hashes, strings of unlike stretches by their units (words by hashes).
 
 Defined cases: null text is empty; texts shorter than the length lose nothing; rows of equal texts, also of
-one id, are documents of their own and so repeat each other; a very long text is searched in stretches, within
-one task; a cut inside a character keeps the bytes that are left; an empty table gives no rows; columns other
-than doc_id and text are ignored, whatever their names.
+one id, are documents of their own and so repeat each other; a very long text is searched in blocks, within one task;
+a cut inside a character keeps the bytes that are left; an empty table gives no rows; columns other than doc_id and
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inkveil.llm.common import BROADCAST_BYTES, drop_written, mix64, one_row_batches, range_hashes, small_batches, table, trimmed, utf8_slices, written
+from inkveil.llm.common import BROADCAST_BYTES, drop_written, guarded, mix64, range_hashes, small_batches, table, trimmed, utf8_slices, written
+from inkveil.llm.suffixes import suffix_order
 
 
 class Unit(NamedTuple):
@@ -47,9 +51,9 @@ class Unit(NamedTuple):
 
 
 BYTES, PASSAGES = Unit(False, 400, 192, 8, True), Unit(True, 51, 26, 3, False)
-#: Bytes of one counting task, and rows of a chunk; positions of a stretch.
-TASK_BYTES, CHUNK_ROWS, STRETCH = 16 << 20, 1000, 1 << 21
-_PLACE = 24  # low bits that hold a position within a stretch, to choose among equal hashes
+#: Positions of a block in which anchors are looked for; stretches of a group that one task sorts; units of one sorted string, on average and at most.
+BLOCK, CROWD, SORTED, SORTED_MOST = 1 << 21, 1024, 1 << 19, 1 << 20
+_PLACE = 24  # low bits that hold a position within a block, to choose among equal hashes
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
@@ -92,10 +96,10 @@ def anchors(sym: np.ndarray, offsets: np.ndarray, unit: Unit = BYTES) -> tuple[n
     size = np.maximum(np.diff(offsets) - unit.length + 1, 0)
     starts = np.repeat(offsets[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
     out = np.empty_like(starts)
-    for x in range(0, len(sym), STRETCH):
-        i, j = np.searchsorted(starts, [x, x + STRETCH])
+    for x in range(0, len(sym), BLOCK):
+        i, j = np.searchsorted(starts, [x, x + BLOCK])
         if i < j:
-            out[i:j] = x + _leasts(sym[x : x + STRETCH + unit.first + unit.gram], unit)[starts[i:j] - x]
+            out[i:j] = x + _leasts(sym[x : x + BLOCK + unit.first + unit.gram], unit)[starts[i:j] - x]
     return starts, out
 
 
@@ -103,52 +107,41 @@ def text_key(df: DataFrame) -> DataFrame:
     return df.select("*", F.xxhash64("text").alias("k"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-def suspects(texts: DataFrame, unit: Unit) -> DataFrame:
-    """k, n_bytes, at, doc, copies: by text the anchors whose contexts occur more than once; doc: one of the text's ids."""
+def stretches(texts: DataFrame, unit: Unit) -> DataFrame:
+    """h (of the context), s (of the whole stretch), low and high (how far before the anchor its strings start), c (times it occurs,
+    or documents that hold it), and of each place: k, n_bytes, doc (an id of the text), at (the anchor). A row a stretch and batch."""
     small_batches(texts.sparkSession)
-    names = ["h", "c", "k", "n_bytes", "doc", "m", "at"]
+    names = ["h", "s", "low", "high", "c", "k", "n_bytes", "doc", "at"]
 
     def run(batches):
         for b in batches:
             _, which, m = np.unique(np.stack([b.column(i).to_numpy() for i in (0, 1)], 1), axis=0, return_index=True, return_counts=True)
             b = b.take(pa.array(which))
             sym, offsets, _, _ = symbols(*utf8_slices(b.column(3)), unit)
-            at = np.unique(anchors(sym, offsets, unit)[1])
-            h = range_hashes(sym, at, at + unit.context).view(np.int64)
-            order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
+            starts, anchor = anchors(sym, offsets, unit)
+            new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
+            at, first = anchor[new], starts[new]
+            last = starts[np.append(new[1:], len(starts)) - 1] if len(new) else first
+            h = range_hashes(sym, at, at + unit.context)
+            low, high = at - last, at - first
+            s = mix64(range_hashes(sym, first, last + unit.length) + (low << 16 | high).astype(np.uint64))
             of = np.searchsorted(offsets, at, side="right") - 1
-            new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            order = np.lexsort((of, s, h))
+            h, s, low, high, at, of = (x[order] for x in (h, s, low, high, at, of))
+            if len(h):
+                new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
+                count = m[of] if unit.inside else np.where(np.append(True, new[1:] | (of[1:] != of[:-1])), m[of], 0)
+                new = np.flatnonzero(new)
+                c = np.minimum(np.add.reduceat(count, new), 2)
+            else:
+                new = c = np.zeros(0, np.int64)
             cuts = pa.array(np.append(new, len(h)).astype(np.int32))
-            lists = [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), b.column(2).take(pa.array(of)), pa.array(m[of].astype(np.int32)), pa.array((at - offsets[of]).astype(np.int32))]
-            c = np.add.reduceat(m[of], new) if len(new) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(np.minimum(c, 2).astype(np.int32)), *[pa.ListArray.from_arrays(cuts, x) for x in lists]], names)
+            lists = [*[b.column(i).take(pa.array(of)) for i in (0, 1, 2)], pa.array((at - offsets[of]).astype(np.int32))]
+            flat = [pa.array(h[new].view(np.int64)), pa.array(s[new].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (low[new], high[new], c)]]
+            yield pa.RecordBatch.from_arrays([*flat, *[pa.ListArray.from_arrays(cuts, x) for x in lists]], names)
 
     long_enough = texts.filter(F.col("n_bytes") >= unit.length * (1 + unit.words) - unit.words)
-    rows = written(long_enough.select("k", "n_bytes", "doc_id", "text").mapInArrow(trimmed(run), "h long, c int, k array<long>, n_bytes array<long>, doc array<long>, m array<int>, at array<int>"), "repeat-anchors")
-    often = rows.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").select("h")
-    each = rows.join(often, "h").select(F.explode(F.arrays_zip("k", "n_bytes", "doc", "m", "at")).alias("x")).select("x.*")
-    found = each.groupBy("k", "n_bytes").agg(F.collect_set("at").alias("at"), F.min("doc").alias("doc"), F.sum("m").alias("m"))
-    found = written(found.select("k", "n_bytes", "at", "doc", (F.col("m") / F.size("at")).cast("long").alias("copies")), "repeat-suspects")
-    drop_written(rows)
-    return found
-
-
-def _strings(sym: np.ndarray, offsets: np.ndarray, at: list[np.ndarray], unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-    """Starts, and hashes, of the strings that have one of the given anchors."""
-    starts, anchor = anchors(sym, offsets, unit)
-    wanted = np.zeros(len(sym) + 1, bool)
-    for o, a in zip(offsets[:-1], at):
-        wanted[o + a] = True
-    starts = starts[wanted[anchor]]
-    return starts, range_hashes(sym, starts, starts + unit.length)
-
-
-def _chunk(row: dict, unit: Unit):
-    """units, offsets, first and last bytes, and anchors of a chunk; offsets of the texts' bytes."""
-    raw = np.frombuffer(b"".join(row["texts"]), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in row["texts"]])]).astype(np.int64)
-    return *symbols(raw, offsets, unit), [np.array(a, np.int64) for a in row["at"]], offsets
+    return long_enough.select("k", "n_bytes", "doc_id", "text").mapInArrow(trimmed(run), "h long, s long, low int, high int, c int, k array<long>, n_bytes array<long>, doc array<long>, at array<int>")
 
 
 def light(df: DataFrame, lists: str, width: int) -> DataFrame:
@@ -157,105 +150,171 @@ def light(df: DataFrame, lists: str, width: int) -> DataFrame:
     return F.broadcast(df) if 64 * rows + width * (entries or 0) <= BROADCAST_BYTES else df
 
 
-def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """k, n_bytes, starts, ends, written: the maximal repeated runs, in bytes, of each text that has any."""
-    spark = docs.sparkSession
-    texts = text_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    found = suspects(texts, unit)
+PIECE = "g long, s long, x int, y int, low int, high int, c int, text long, data binary"
 
-    def gather(batches):
-        part, no, rows, size = TaskContext.get().partitionId(), 0, [], 0
-        names = ["chunk", "ks", "copies", "texts", "at"]
 
-        def flush():
-            ks, copies, raw, at = zip(*rows)
-            cells = [(ks, pa.int64()), (copies, pa.int64()), (raw, pa.binary()), (at, pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | no], pa.int64()), *[pa.array([list(x)], pa.list_(t)) for x, t in cells]], names)
+def pieces(texts: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
+    """Of mixed stretches their units, read from one text each, as PIECE: g (the group), s, x to y (the group's range of starts before
+    the anchor), low to high (the stretch's own), c, text (a hash of the text that holds it), data."""
+    by_text = mixed.groupBy("k", "n_bytes", "doc").agg(F.collect_list(F.struct("h", "s", "low", "high", "c", "at")).alias("need"))
+    by_text = written(by_text, "repeat-need")
+    joined = texts.join(light(by_text, "need", 40), ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc")))
 
+    def run(batches):
         for b in batches:
-            for k, copies, t, at in zip(*(c.to_pylist() for c in b.columns)):
-                raw = t.encode()
-                rows.append((k, copies, raw, at))
-                size += len(raw)
-                if len(rows) >= CHUNK_ROWS or size >= TASK_BYTES // 4:
-                    yield flush()
-                    no, rows, size = no + 1, [], 0
-        if rows:
-            yield flush()
-
-    joined = texts.join(light(found, "at", 4), ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc"))).select("k", "copies", "text", "at")
-    chunks = written(joined.mapInArrow(trimmed(gather), "chunk long, ks array<long>, copies array<long>, texts array<binary>, at array<array<int>>"), "repeat-chunks")
-    total = found.agg(F.sum("n_bytes")).first()[0] or 0
-    drop_written(found)
-    buckets = max(16, -(-8 * total // TASK_BYTES))
-
-    def bucket_of(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-    def deal(batches):
+            raw, offsets = utf8_slices(b.column(1))
+            sym, starts, _, _ = symbols(raw, offsets, unit)
+            cols = [[] for _ in range(9)]
+            for i, (k, need) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                for r in need:
+                    at = int(starts[i]) + r["at"]
+                    data = sym[at - r["high"] : at - r["low"] + unit.length]
+                    for c, v in zip(cols, (r["h"], r["s"], 0, unit.first - 1, r["low"], r["high"], r["c"], k, data.tobytes())):
+                        c.append(v)
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["g", "s", "x", "y", "low", "high", "c", "text", "data"])
+
+    out = written(joined.select("k", "text", "need").mapInArrow(trimmed(run), PIECE).dropDuplicates(["g", "s"]), "repeat-pieces")
+    drop_written(by_text)
+    return out
+
+
+def _type(unit: Unit):
+    return np.dtype(np.uint64 if unit.words else np.uint8)
+
+
+def halves(crowd: DataFrame, unit: Unit) -> DataFrame:
+    """Pieces of crowded groups in two groups each, by the half of the group's range; each has the context of its half."""
+
+    def run(batches):
+        size = _type(unit).itemsize
         for b in batches:
-            for row in b.to_pylist():
-                sym, offsets, _, _, at, _ = _chunk(row, unit)
-                starts, h = _strings(sym, offsets, at, unit)
-                if not unit.inside:  # once a text
-                    of = np.searchsorted(offsets, starts, side="right")
-                    order = np.lexsort((of, h))
-                    h, of = h[order], of[order]
-                    h = h[np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))] if len(h) else h
-                h, c = np.unique(h, return_counts=True)
-                if len(h):
-                    h, c = np.repeat(h, np.minimum(c, 2)), None  # twice if it is there twice
-                    ends = np.searchsorted(bucket_of(h), np.arange(buckets), side="right")
-                    begins = np.concatenate([[0], ends[:-1]])
-                    some = np.flatnonzero(ends > begins)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), row["chunk"])), pa.array(some), pa.array([h[begins[i] : ends[i]].tobytes() for i in some], pa.binary())], ["chunk", "bucket", "hashes"])
-
-    def count(t: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        h = np.sort(np.concatenate(blobs))
-        h = np.unique(h[1:][h[1:] == h[:-1]])
-        bits = []
-        for x in blobs:
-            u = np.unique(x)
-            i = np.minimum(np.searchsorted(h, u), max(len(h) - 1, 0))
-            bits.append(np.packbits(h[i] == u if len(h) else np.zeros(len(u), bool)).tobytes())
-        return pa.table([t.column("chunk"), t.column("bucket"), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
-
-    def cover(batches):
+            cols = [[] for _ in range(9)]
+            for r in b.to_pylist():
+                mid = (r["x"] + r["y"]) // 2
+                for x, y in ((r["x"], mid), (mid + 1, r["y"])):
+                    low, high = max(r["low"], x), min(r["high"], y)
+                    if low <= high:  # the anchor is at high units of the piece; strings from x to y before it hold what follows
+                        context = r["data"][size * (r["high"] - x) : size * (r["high"] - y + unit.length)]
+                        data = r["data"][size * (r["high"] - high) : size * (r["high"] - low + unit.length)]
+                        g = int.from_bytes(hashlib.blake2b(context, digest_size=8, key=f"{r['g']}:{x}:{y}".encode()).digest(), "little", signed=True)
+                        for c, v in zip(cols, (g, r["s"], x, y, low, high, r["c"], r["text"], data)):
+                            c.append(v)
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["g", "s", "x", "y", "low", "high", "c", "text", "data"])
+
+    return crowd.mapInArrow(trimmed(run), PIECE)
+
+
+def repeated_starts(data: list[bytes], c: np.ndarray, text: np.ndarray, group: np.ndarray, unit: Unit) -> list[np.ndarray]:
+    """Of each piece, a mark for each string that repeats among the pieces: by their suffix order and the comparison of neighbours."""
+    parts = [np.frombuffer(x, _type(unit)) for x in data]
+    size = np.array([len(p) for p in parts])
+    flat = np.concatenate(parts)
+    names = np.unique(flat, return_inverse=True)[1] + 1 if unit.words else flat.astype(np.int64) + 1
+    begin = np.cumsum(size + 1) - size - 1
+    t = np.empty(size.sum() + len(parts), np.int64)
+    t[np.arange(len(flat)) + np.repeat(np.arange(len(parts)), size)] = names
+    t[begin + size] = names.max() + 1  # an end larger than all; strings never reach it
+    of = np.repeat(np.arange(len(parts)), size + 1)
+    order = suffix_order(t)
+    order = order[order - begin[of[order]] <= size[of[order]] - unit.length]  # where strings start
+    a, b = order[:-1], order[1:]
+    same = np.flatnonzero((t[a] == t[b]) & (t[a + unit.length - 1] == t[b + unit.length - 1]) & (group[of[a]] == group[of[b]]))
+    for k in range(1, unit.length - 1):
+        if not len(same):
+            break
+        same = same[t[a[same] + k] == t[b[same] + k]]
+    new = np.ones(len(order), bool)
+    new[same + 1] = False
+    run = np.flatnonzero(new)
+    if unit.inside:
+        often = np.add.reduceat(c[of[order]], run) > 1
+    else:
+        texts = text[of[order]]
+        often = (np.maximum.reduceat(c[of[order]], run) > 1) | (np.minimum.reduceat(texts, run) != np.maximum.reduceat(texts, run))
+    marks = np.zeros(len(t), bool)
+    marks[order] = often[np.cumsum(new) - 1]
+    return [marks[x : x + n - unit.length + 1] for x, n in zip(begin, size)]
+
+
+def sorted_groups(pieces_: DataFrame, unit: Unit) -> DataFrame:
+    """s, f, t: starts, from f to t before the anchor, of strings of a stretch that repeat; pieces dealt by whole groups."""
+    total = pieces_.agg(F.sum(F.length("data"))).first()[0] or 0
+    buckets = max(8, -(-total // (_type(unit).itemsize * SORTED)))
+    names = ["s", "f", "t"]
+
+    def run(table_: pa.Table) -> pa.Table:
+        g = table_.column("g").to_numpy()
+        by = np.argsort(g, kind="stable")
+        table_ = table_.take(pa.array(by))
+        g, s, high = g[by], table_.column("s").to_numpy(), table_.column("high").to_numpy()
+        data, c, text = table_.column("data").to_pylist(), table_.column("c").to_numpy(), table_.column("text").to_numpy()
+        upto = np.cumsum([len(x) // _type(unit).itemsize + 1 for x in data])
+        out: list[list] = [[], [], []]
+        at = 0
+        while at < len(data):  # whole groups, as many as one sorted string holds
+            used = upto[at - 1] if at else 0
+            end = max(int(np.searchsorted(upto, used + SORTED_MOST)), int(np.searchsorted(g, g[at], side="right")))
+            if end < len(data):
+                end = max(int(np.searchsorted(g, g[end])), int(np.searchsorted(g, g[at], side="right")))
+            for i, marks in zip(range(at, end), repeated_starts(data[at:end], c[at:end], text[at:end], g[at:end], unit)):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
+                for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    for o, v in zip(out, (int(s[i]), int(high[i]) - x, int(high[i]) - y + 1)):
+                        o.append(v)
+            at = end
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names)
+
+    return pieces_.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, "s long, f int, t int")
+
+
+def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """k, n_bytes, starts, ends, written: the maximal repeated runs, in units, of each text that has any."""
+    texts = text_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = written(stretches(texts, unit), "repeat-stretches")
+    often = rows.groupBy("h").agg(F.sum("c").alias("times")).filter("times > 1").select("h")
+    suspect = written(rows.join(often, "h"), "repeat-suspects")
+    drop_written(rows)
+    place = F.struct(*[F.element_at(x, 1).alias(x) for x in ("k", "n_bytes", "doc", "at")])
+    kinds = suspect.groupBy("h", "s", "low", "high").agg(F.sum("c").alias("c"), F.min(place).alias("place"))
+    kinds = written(kinds.select("h", "s", "low", "high", F.least("c", F.lit(2)).cast("int").alias("c"), "place.*"), "repeat-kinds")
+    groups = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("c").alias("most")), "repeat-groups")
+    mixed = kinds.join(groups.filter("kinds > 1").select("h"), "h")
+    # A stretch that occurs twice repeats whole, whatever else its group holds.
+    found = [kinds.filter("c > 1").select("s", F.col("high").alias("f"), F.col("low").alias("t"))]
+    gone = [suspect, kinds, groups]
+    level = pieces(texts, mixed, unit)
+    while not level.isEmpty():
+        crowds = guarded(written(level.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("g"), "repeat-crowds"), 16)
+        found.append(written(sorted_groups(level.join(crowds, "g", "left_anti"), unit), "repeat-found"))
+        split = written(halves(level.join(crowds, "g", "left_semi"), unit), "repeat-pieces")
+        # Where a half is one place, its context is the whole string: all of a group are equal.
+        ends = split.filter("x = y")
+        n = F.sum("c") if unit.inside else F.when((F.max("c") > 1) | (F.min("text") != F.max("text")), 2).otherwise(1)
+        twice = written(ends.groupBy("g").agg(n.alias("n")).filter("n > 1").select("g"), "repeat-ends")
+        found.append(written(ends.join(twice, "g").select("s", F.col("high").alias("f"), F.col("low").alias("t")), "repeat-found"))
+        last, level = level, written(split.filter("x < y"), "repeat-pieces")
+        drop_written(last, split, twice)
+        gone += found[-2:]
+    ranges = found[0]
+    for f in found[1:]:
+        ranges = ranges.unionByName(f)
+    ranges = written(ranges.groupBy("s").agg(F.collect_list(F.struct("f", "t")).alias("ranges")).withColumnRenamed("s", "of"), "repeat-ranges")
+    hit = suspect.join(light(ranges, "ranges", 8), F.col("s") == F.col("of")).select("ranges", F.explode(F.arrays_zip("k", "n_bytes", "at")).alias("x"))
+    hit = hit.groupBy("x.k", "x.n_bytes").agg(F.collect_list(F.struct("x.at", "ranges")).alias("found"))
+
+    def run(batches):
         for b in batches:
-            for row in b.to_pylist():
-                sym, offsets, begins, ends, at, edges = _chunk(row, unit)
-                starts, h = _strings(sym, offsets, at, unit)
-                order = np.argsort(h)
-                new = np.ones(len(h), bool)
-                new[1:] = h[order[1:]] != h[order[:-1]]
-                u = h[order[new]]
-                again = np.zeros(len(u), bool)
-                cuts = np.searchsorted(bucket_of(u), np.arange(buckets + 1))
-                for x in row["told"] or ():
-                    i, j = cuts[x["bucket"]], cuts[x["bucket"] + 1]
-                    again[i:j] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=j - i)
-                hit = np.empty(len(h), bool)
-                hit[order] = again[np.cumsum(new) - 1]
-                hit |= np.array(row["copies"])[np.searchsorted(offsets, starts, side="right") - 1] > 1
-                s = starts[hit]
-                first = np.ones(len(s), bool)
-                text = np.searchsorted(offsets, s, side="right") - 1
-                first[1:] = (s[1:] > s[:-1] + unit.length) | (text[1:] != text[:-1])
-                i = np.flatnonzero(first)
-                last = s[np.append(i[1:], len(s)) - 1] + unit.length - 1 if len(s) else s
-                begin, end, text = begins[s[i]], ends[last], text[i]
-                cut = np.searchsorted(text, np.arange(len(offsets)))
-                rows = [(row["ks"][d], int(edges[d + 1] - edges[d]), begin[x:y] - edges[d], end[x:y] - edges[d]) for d, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
-                cols = list(zip(*rows)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array([x.astype(np.int32) for x in c], pa.list_(pa.int32())) for c in cols[2:]]], ["k", "n_bytes", "starts", "ends"])
-
-    with one_row_batches(spark):
-        told = chunks.mapInArrow(trimmed(deal), "chunk long, bucket long, hashes binary").groupBy("bucket").applyInArrow(count, "chunk long, bucket long, bits binary")
-        told = written(told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("told")), "repeat-told")
-        out = chunks.join(told, "chunk", "left").mapInArrow(trimmed(cover), "k long, n_bytes long, starts array<int>, ends array<int>")
-        out = written(out.dropDuplicates(["k", "n_bytes"]), "repeat-spans")
-    drop_written(chunks, told)
+            cols = [[], []]
+            for rows in b.column(2).to_pylist():
+                runs = merged(*zip(*[(r["at"] - x["f"], r["at"] - x["t"] + unit.length) for r in rows for x in r["ranges"]]))
+                cols[0].append([x for x, _ in runs])
+                cols[1].append([y for _, y in runs])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.list_(pa.int32())) for c in cols]], ["k", "n_bytes", "starts", "ends"])
+
+    out = written(hit.mapInArrow(trimmed(run), "k long, n_bytes long, starts array<int>, ends array<int>"), "repeat-spans")
+    drop_written(ranges, *gone)
     return out
 
 
@@ -270,6 +329,15 @@ def merged(starts: list[int] | None, ends: list[int] | None) -> list[tuple[int,
     return out
 
 
+def in_bytes(raw: bytes, starts: list[int] | None, ends: list[int] | None, unit: Unit) -> list[tuple[int, int]]:
+    """Runs of units as runs of bytes."""
+    if not starts or not unit.words:
+        return merged(starts, ends)
+    data = np.frombuffer(raw, np.uint8)
+    _, _, first, last = symbols(data, np.array([0, len(data)]), unit)
+    return [(int(first[x]), int(last[y - 1])) for x, y in merged(starts, ends)]
+
+
 def keep(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     at, out = 0, []
     for s, e in runs:
@@ -279,7 +347,7 @@ def keep(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs, null texts as empty, with starts and ends of what goes, and p_starts and p_ends of passages; null where there are none."""
+    """docs, null texts as empty, with starts and ends of what goes, and p_starts and p_ends of passages in words; null where there are none."""
     docs = docs.drop("k", "n_bytes", "starts", "ends", "p_starts", "p_ends")  # columns of our own names
     d = text_key(docs.withColumn("text", F.coalesce("text", F.lit(""))))
     d = d.join(light(spans(docs), "starts", 8), ["k", "n_bytes"], "left")
@@ -293,7 +361,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             text, *lists = (b.column(i).to_pylist() for i in (1, 4, 5, 6, 7))
-            kept = [t if not s and not ps else keep(t.encode(), merged([*(s or ()), *(ps or ())], [*(e or ()), *(pe or ())])).decode("utf-8", "ignore") for t, s, e, ps, pe in zip(text, *lists)]
+            kept = []
+            for t, s, e, ps, pe in zip(text, *lists):
+                raw = t.encode() if s or ps else b""
+                runs = merged(s, e) + in_bytes(raw, ps, pe, PASSAGES)
+                kept.append(keep(raw, merged(*zip(*runs))).decode("utf-8", "ignore") if runs else t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), b.column(2), b.column(3), pa.array([len(t) for t in kept], pa.int64())], ["doc_id", "text", "lang", "source", "n_chars"])
 
     d = with_spans(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "text", "lang", "source", "starts", "ends", "p_starts", "p_ends")
@@ -310,7 +382,7 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
             raw = [t.encode() for t in text]
             runs = [merged(s, e) for s, e in zip(starts, ends)]
             kept = [keep(*x) for x in zip(raw, runs)]
-            passages = [sum(e - s for s, e in merged(s, e)) for s, e in zip(p_starts, p_ends)]
+            passages = [sum(y - x for x, y in in_bytes(t, s, e, PASSAGES)) for t, s, e in zip(raw, p_starts, p_ends)]
             cols = [[len(r) for r in raw], [len(r) - len(k) for r, k in zip(raw, kept)], [len(s) for s in runs], [hashlib.sha256(k).hexdigest() for k in kept], passages]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names[1:], cols)]], names)
 

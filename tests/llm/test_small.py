@@ -7,7 +7,7 @@ import json
 import numpy as np
 import pytest
 
-from inkveil.llm import licenses, mixing, mpeg_audio, near_dup, packing, quality, repeats, token_counts, vectors
+from inkveil.llm import licenses, mixing, mpeg_audio, near_dup, packing, quality, repeats, suffixes, token_counts, vectors
 
 BASE = " ".join(f"word{i}" for i in range(120))
 TEXTS = [BASE, BASE, BASE + " tail", BASE.replace("word60", "other"), "", None, "short text", "short text", "a" * 1000, "Ünïcode – 日本 🙂 l'été don't", "x\n\n y  z", "Licensed under CC BY-NC 4.0.", " \t\n"]
@@ -19,7 +19,9 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, h long, k long").repartition(3)
 
 
-def test_repeats(docs):
+@pytest.mark.parametrize("crowd", [1024, 1])
+def test_repeats(docs, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)  # 1: groups are split to the last
     raw = [(t or "").encode() for t in TEXTS]
     c = collections.Counter(b[s : s + 400] for b in raw for s in range(len(b) - 399))
     want = []
@@ -33,7 +35,19 @@ def test_repeats(docs):
     assert sorted(got) == sorted(want)
 
 
-def test_passages(spark):
+def test_suffix_order():
+    rng = np.random.default_rng(2)
+    for n in [*range(12), *rng.integers(12, 80, 60)]:
+        for most in (1, 2, 5, 300):
+            t = rng.integers(1, most + 1, n)
+            assert suffixes.suffix_order(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+    with pytest.raises(ValueError):
+        suffixes.suffix_order(np.ones(suffixes.MOST, np.int8))
+
+
+@pytest.mark.parametrize("crowd", [1024, 1])
+def test_passages(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     """Passages of over 50 words against every window of 51, by documents."""
     shared = " ".join(f"w{i % 7}{i}" for i in range(51))
     texts = [f"a b {shared} c", f"{shared}\n\nd", shared.replace(" ", "\t"), " ".join(f"w{i % 7}{i}" for i in range(50)), " ".join(["x"] * 200), f"q {shared} r {shared}", None, "", "twice " * 60, "twice " * 60]
@@ -48,7 +62,7 @@ def test_passages(spark):
         want.append("".join(w for w, x in zip(ws, m) if not x))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = sorted(repeats.with_spans(docs).collect(), key=lambda r: r.doc_id)
-    assert ["".join(repeats.keep(r.text.encode(), repeats.merged(r.p_starts, r.p_ends)).decode().split()) for r in rows] == want
+    assert ["".join(repeats.keep(r.text.encode(), repeats.in_bytes(r.text.encode(), r.p_starts, r.p_ends, repeats.PASSAGES)).decode().split()) for r in rows] == want
     assert want[4] != "" and want[0] == "abc" and want[8] == ""
 
 
