@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkveil.functions import patterns as P, text as T
 from inkveil.operators import detect as D, evaluate as E, redact as R
-from inkveil.sources import truth as S
+from inkveil.sources import docx as X, generator as G, truth as S
 
 QUERIES, ORACLES = {}, {}
 
@@ -286,6 +286,36 @@ def retention_of_null(spark, sf_dir):
     return E.retention(_truth(spark, sf_dir), o, o).agg(F.count("*").alias("docs"), F.bool_and(F.col("kept") == F.col("total")).alias("all_kept"))
 
 
+_MADE = 240
+
+
+def _made(spark):
+    """Generated documents, through the engine: truth (without places and firms, which it leaves), files, originals, redacted parts, outputs."""
+    made = G.generate(spark, _MADE)
+    units = G.units_of(made)
+    labelled = R.label(R.decide(R.spans(units, "known")))
+    written = X.write_docx(made.filter("format = 'docx'").select(F.col("source_file").alias("path"), "content"), labelled)
+    parts = X.parsed(written).select(F.col("path").alias("doc_id"), F.explode("parts").alias("part", "text"))
+    pages = R.redact(units.filter("location = 'page'"), labelled).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_seq", "text"))).alias("t"))
+    pages = pages.select("doc_id", F.lit("text_layer").alias("part"), F.array_join(F.transform("t", lambda x: x.text), "\n").alias("text"))
+    outputs = made.filter("not must_be_refused").select(F.col("source_file").alias("path"), F.lit(None).cast("string").alias("error"))
+    return E.checked(G.truth_of(made).filter(~F.col("type").isin(*E.CLASS_A))), G.files_of(made), G.originals_of(made), parts.unionByName(pages), outputs
+
+
+@query(f"SELECT cast({_MADE + 1} as bigint) AS files, cast(0 as bigint) AS text_layer, cast(0 as bigint) AS scrub, cast(0 as bigint) AS other, 'PASS' AS verdict, cast(0 as int) AS exit_code")
+def generated_leaks(spark, sf_dir):
+    """The leak verdict on generated documents, DOCX read, rewritten and read again."""
+    truth, files, _, redacted, _ = _made(spark)
+    return E.leak_verdict(E.leaks(truth, redacted), files)
+
+
+@query("SELECT " + ", ".join(f"true AS {g}" for g in (*E.GATES, "passed")))
+def generated_gates(spark, sf_dir):
+    """All verdicts on generated documents."""
+    truth, files, originals, redacted, outputs = _made(spark)
+    return E.run_eval(truth, files, originals, redacted, outputs)
+
+
 @query("WITH s AS (SELECT o_custkey AS doc_id, cast(o_orderkey % 400 as int) AS start, cast(o_orderkey % 400 + 1 + o_orderkey % 23 as int) AS e FROM orders), g AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s), h AS (SELECT *, sum(CASE WHEN start <= r THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT doc_id, min(start) AS start, max(e) AS \"end\" FROM h GROUP BY doc_id, k")
 def merge_islands(spark, sf_dir):
     o = _read(spark, sf_dir, "orders")
