@@ -148,6 +148,16 @@ def found(col: pa.Array, known: pa.Array) -> pa.Array:
     return as_array(texts, rows)
 
 
+def unresolved(units: DataFrame, known: str, out: str) -> DataFrame:
+    """out: candidates of the first types and of names, before any rule."""
+
+    def run(col: pa.Array, entities: pa.Array) -> pa.Array:
+        names, texts = Names(), col.to_pylist()
+        return as_array(texts, [None if t is None else scan(t, FIRST) + names.find(t, tuple(k or ())) for t, k in zip(texts, entities.to_pylist())])
+
+    return units.withColumn(out, F.arrow_udf(run, CANDIDATE).asNondeterministic()(F.col("text"), F.col(known)))
+
+
 def detect(units: DataFrame, known: str | None = None, extra_terms: list[str] | None = None) -> DataFrame:
     """units with cands: resolved candidates ordered by span. known: a column of known entities. extra_terms: a reviewer's own, after those; blank ones don't count."""
     entities = F.coalesce(F.col(known), F.array().cast("array<string>")) if known else F.array().cast("array<string>")

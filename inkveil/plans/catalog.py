@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inkveil.functions import patterns as P, text as T
 from inkveil.operators import detect as D, evaluate as E, redact as R
-from inkveil.sources import docx as X, generator as G, truth as S
+from inkveil.sources import docx as X, files as FI, generator as G, truth as S
 
 QUERIES, ORACLES = {}, {}
 
@@ -91,6 +91,58 @@ def dic_pages(spark, sf_dir):
     return d.select("page_id", F.explode("x").alias("x")).select("page_id", "x.surface")
 
 
+_PLACED = "SELECT doc_id, m[i] AS surface, cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as int) AS start FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{0}') AS m, string_split_regex(text, '{0}') AS p FROM documents))"
+
+
+@query(_PLACED.replace("{0}", _EMAIL_RE2))
+def email_spans(spark, sf_dir):
+    d = D.candidates(_read(spark, sf_dir, "documents").select("doc_id", "text"), {"EMAIL": P.SECOND["EMAIL"]}, "text", "x")
+    return d.select("doc_id", F.explode("x").alias("x")).select("doc_id", "x.surface", "x.start")
+
+
+@query(f"SELECT cast(sum(len(regexp_extract_all(text, '{_URL_RE2}'))) as bigint) AS found, cast(sum(len(regexp_extract_all(regexp_replace(text, '{_EMAIL_RE2}', ' @ ', 'g'), '{_URL_RE2}'))) as bigint) AS kept FROM documents")
+def url_in_email(spark, sf_dir):
+    """Addresses found, and those that are no part of an e-mail."""
+    docs = _read(spark, sf_dir, "documents").select("text")
+    found = D.candidates(docs, {"URL": P.SECOND["URL"]}, "text", "x")
+    return D.detect(found).agg(F.coalesce(F.sum(F.size("x")), F.lit(0)).alias("found"), F.coalesce(F.sum(F.size(F.filter("cands", lambda c: c.type == "URL"))), F.lit(0)).alias("kept"))
+
+
+_NUMBERS = "len(regexp_extract_all({0}, '\\b\\d{10}\\b'))"
+
+
+@query(f"WITH {_CARRIER} SELECT unit_seq, {_NUMBERS.replace('{0}', 'text')} AS found, {_NUMBERS.replace('{0}', 'regexp_replace(text, acc, chr(35))')} AS kept FROM c")
+def resolve_contain(spark, sf_dir):
+    """Tax numbers found, and those that lie in no account number."""
+    found = D.candidates(S.carrier(spark, sf_dir).select("unit_seq", "text"), {"DIC": P.FIRST["DIC"]}, "text", "x")
+    return D.detect(found).select("unit_seq", F.size("x").cast("long").alias("found"), F.size(F.filter("cands", lambda c: c.type == "DIC")).cast("long").alias("kept"))
+
+
+@query(f"WITH {_SPANS} SELECT unit_seq, start, 2 AS claims, 'ICO' AS type, auto FROM f WHERE type = 'ICO'")
+def resolve_precedence(spark, sf_dir):
+    """Spans that a name and a company number claim, and who keeps them: the number, and what is doubtful stays so."""
+    d = D.detect(D.unresolved(S.carrier(spark, sf_dir).select("unit_seq", "text", "known"), "known", "raw"), "known")
+    x = d.select("unit_seq", "raw", F.explode("cands").alias("c"))
+    same = F.filter("raw", lambda y: (y.start == F.col("c.start")) & (y.end == F.col("c.end")))
+    return x.withColumn("claims", F.size(same)).filter("claims > 1").select("unit_seq", "c.start", "claims", "c.type", "c.auto")
+
+
+@query("SELECT doc_id % 50 AS doc_id, bool_or(trim(text) <> '') AS text_layer FROM documents GROUP BY doc_id % 50")
+def text_layers(spark, sf_dir):
+    return FI.text_layers(_read(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("doc_id"), "text"))
+
+
+_ENDS = "CASE p_partkey % 4 WHEN 0 THEN '.docx' WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' ELSE '' END"
+
+
+@query(f"SELECT min(p_partkey) AS seq, path, regexp_replace(path, '([.][a-zA-Z]+)$', '_anon\\1') AS out, regexp_replace(path, '[.][a-zA-Z]+$', '') || '_anon_report.txt' AS report FROM (SELECT p_partkey, 'in/f' || p_partkey % 500 || {_ENDS} AS path FROM part) WHERE p_partkey % 4 < 2 GROUP BY path")
+def intake_and_export(spark, sf_dir):
+    """Files taken in once each, and where their results go."""
+    files = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.expr(f"'in/f' || p_partkey % 500 || {_ENDS}").alias("path"))
+    taken = FI.intake(files)
+    return taken.join(FI.exported(taken.withColumn("status", F.lit("written"))), "path")
+
+
 for _f, _t in S.TYPES.items():
     def _one(spark, sf_dir, t=_t):
         """Resolved spans of one type on the carriers."""
@@ -289,30 +341,30 @@ def retention_of_null(spark, sf_dir):
 _MADE = 240
 
 
-def _made(spark):
+def made(spark, n: int = _MADE):
     """Generated documents, through the engine: truth (without places and firms, which it leaves), files, originals, redacted parts, outputs."""
-    made = G.generate(spark, _MADE)
-    units = G.units_of(made)
+    docs = G.generate(spark, n)
+    units = G.units_of(docs)
     labelled = R.label(R.decide(R.spans(units, "known")))
-    written = X.write_docx(made.filter("format = 'docx'").select(F.col("source_file").alias("path"), "content"), labelled)
+    written = X.write_docx(docs.filter("format = 'docx'").select(F.col("source_file").alias("path"), "content"), labelled)
     parts = X.parsed(written).select(F.col("path").alias("doc_id"), F.explode("parts").alias("part", "text"))
     pages = R.redact(units.filter("location = 'page'"), labelled).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_seq", "text"))).alias("t"))
     pages = pages.select("doc_id", F.lit("text_layer").alias("part"), F.array_join(F.transform("t", lambda x: x.text), "\n").alias("text"))
-    outputs = made.filter("not must_be_refused").select(F.col("source_file").alias("path"), F.lit(None).cast("string").alias("error"))
-    return E.checked(G.truth_of(made).filter(~F.col("type").isin(*E.CLASS_A))), G.files_of(made), G.originals_of(made), parts.unionByName(pages), outputs
+    outputs = docs.filter("not must_be_refused").select(F.col("source_file").alias("path"), F.lit(None).cast("string").alias("error"))
+    return E.checked(G.truth_of(docs).filter(~F.col("type").isin(*E.CLASS_A))), G.files_of(docs), G.originals_of(docs), parts.unionByName(pages), outputs
 
 
 @query(f"SELECT cast({_MADE + 1} as bigint) AS files, cast(0 as bigint) AS text_layer, cast(0 as bigint) AS scrub, cast(0 as bigint) AS other, 'PASS' AS verdict, cast(0 as int) AS exit_code")
 def generated_leaks(spark, sf_dir):
     """The leak verdict on generated documents, DOCX read, rewritten and read again."""
-    truth, files, _, redacted, _ = _made(spark)
+    truth, files, _, redacted, _ = made(spark)
     return E.leak_verdict(E.leaks(truth, redacted), files)
 
 
 @query("SELECT " + ", ".join(f"true AS {g}" for g in (*E.GATES, "passed")))
 def generated_gates(spark, sf_dir):
     """All verdicts on generated documents."""
-    truth, files, originals, redacted, outputs = _made(spark)
+    truth, files, originals, redacted, outputs = made(spark)
     return E.run_eval(truth, files, originals, redacted, outputs)
 
 
