@@ -6,14 +6,15 @@ Both are one search over strings of a fixed number of units, which are bytes or
   positions. Strings of one anchor lie side by side; what they cover is the anchor's stretch. The units that every
   string of an anchor holds, from the anchor on, are its context: equal strings have equal anchors and contexts, so
   an anchor whose context occurs once repeats nothing, and contexts deal the suffixes to independent groups.
-* A group whose stretches are all equal repeats whole. In any other group the distinct stretches are sorted as
-  suffixes by a difference cover (suffixes.py: sampled triples, recursion on names, merging of the rest), many
+* A group whose stretches are all equal repeats whole. Stretches of other groups are cut into PARTS by the place of the
+  anchor in a string, each with a longer context of its own, and grouped anew: most of them now repeat whole or not at
+  all. In the groups that are left the distinct parts are sorted as suffixes by a difference cover (suffixes.py: sampled triples, recursion on names, merging of the rest), many
   groups in one string, and neighbours in that order are compared over the string's length, unit by unit.
 * A group of more than CROWD stretches is first split in two by the place of the anchor in a string, either half with
   a longer context, again and again; at the last a context is the whole string. So no task grows with a group.
 
 Rows of equal texts are one text with a number of copies, and what a batch holds of one stretch is one row. Contexts
-and whole stretches are told apart by 64-bit hashes, strings of unlike stretches by their units (words by hashes).
+and whole stretches and parts are told apart by 64-bit hashes, strings of unlike stretches by their units (words by hashes).
 
 Defined cases: null text is empty; texts shorter than the length lose nothing; rows of equal texts, also of
 one id, are documents of their own and so repeat each other; a very long text is searched in blocks, within one task;
@@ -53,6 +54,8 @@ class Unit(NamedTuple):
 BYTES, PASSAGES = Unit(False, 400, 192, 8, True), Unit(True, 51, 26, 3, False)
 #: Positions of a block in which anchors are looked for; stretches of a group that one task sorts; units of one sorted string, on average and at most.
 BLOCK, CROWD, SORTED, SORTED_MOST = 1 << 21, 1024, 1 << 19, 1 << 20
+#: Parts of a stretch.
+PARTS = 8
 _PLACE = 24  # low bits that hold a position within a block, to choose among equal hashes
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -153,29 +156,65 @@ def light(df: DataFrame, lists: str, width: int) -> DataFrame:
 PIECE = "g long, s long, x int, y int, low int, high int, c int, text long, data binary"
 
 
+def needed(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """k, text, need (a list of structs of columns) of one text each that rows (k, n_bytes, doc, columns) name."""
+    by_text = written(rows.groupBy("k", "n_bytes", "doc").agg(F.collect_list(F.struct(*columns)).alias("need")), "repeat-need")
+    joined = texts.join(light(by_text, "need", 48), ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc")))
+    out = joined.select("k", "n_bytes", "doc", "text", "need")
+    out.written_at = by_text.written_at
+    return out
+
+
+def parts(texts: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
+    """g (the part's context), s (of the part), root (the stretch), x to y (the part's range of starts before the anchor), low to high (what
+    the stretch has of it), c, and a place: k, n_bytes, doc, at; of every part of the mixed stretches, each read from one text."""
+    source = needed(texts, mixed, "h", "s", "low", "high", "c", "at")
+    width = -(-unit.first // PARTS)
+    names = ["g", "s", "root", "x", "y", "low", "high", "c", "k", "n_bytes", "doc", "at"]
+
+    def run(batches):
+        for b in batches:
+            sym, starts, _, _ = symbols(*utf8_slices(b.column(3)), unit)
+            need = b.column(4)
+            flat, of = need.flatten(), np.repeat(np.arange(len(b)), np.diff(need.offsets.to_numpy()))
+            h, s, low, high, c, at = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+            first, last = low // width, high // width
+            n = last - first + 1
+            i = np.repeat(np.arange(len(h)), n)
+            x = (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + first[i]) * width
+            y = np.minimum(x + width, unit.first) - 1
+            lo, hi, here = np.maximum(low[i], x), np.minimum(high[i], y), starts[of[i]] + at[i]
+            g = mix64(range_hashes(sym, here - x, here - y + unit.length) ^ mix64(h[i].view(np.uint64) + x.astype(np.uint64)))
+            part = mix64(range_hashes(sym, here - hi, here - lo + unit.length) ^ mix64(g + (lo << 16 | hi).astype(np.uint64)))
+            numbers = [g.view(np.int64), part.view(np.int64), s[i], *[v.astype(np.int32) for v in (x, y, lo, hi, c[i])]]
+            rest = pa.array(of[i])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), *[b.column(j).take(rest) for j in (0, 1, 2)], pa.array(at[i].astype(np.int32))], names)
+
+    out = written(source.mapInArrow(trimmed(run), "g long, s long, root long, x int, y int, low int, high int, c int, k long, n_bytes long, doc long, at int"), "repeat-parts")
+    drop_written(source)
+    return out
+
+
 def pieces(texts: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
-    """Of mixed stretches their units, read from one text each, as PIECE: g (the group), s, x to y (the group's range of starts before
-    the anchor), low to high (the stretch's own), c, text (a hash of the text that holds it), data."""
-    by_text = mixed.groupBy("k", "n_bytes", "doc").agg(F.collect_list(F.struct("h", "s", "low", "high", "c", "at")).alias("need"))
-    by_text = written(by_text, "repeat-need")
-    joined = texts.join(light(by_text, "need", 40), ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc")))
+    """Of mixed parts their units, read from one text each, as PIECE: g (the group), s, x to y (the group's range of starts before
+    the anchor), low to high (the part's own), c, text (a hash of the text that holds it), data."""
+    source = needed(texts, mixed, "g", "s", "x", "y", "low", "high", "c", "at")
 
     def run(batches):
         for b in batches:
-            raw, offsets = utf8_slices(b.column(1))
-            sym, starts, _, _ = symbols(raw, offsets, unit)
+            sym, starts, _, _ = symbols(*utf8_slices(b.column(3)), unit)
             cols = [[] for _ in range(9)]
-            for i, (k, need) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+            for i, (k, need) in enumerate(zip(b.column(0).to_pylist(), b.column(4).to_pylist())):
                 for r in need:
                     at = int(starts[i]) + r["at"]
                     data = sym[at - r["high"] : at - r["low"] + unit.length]
-                    for c, v in zip(cols, (r["h"], r["s"], 0, unit.first - 1, r["low"], r["high"], r["c"], k, data.tobytes())):
+                    for c, v in zip(cols, (r["g"], r["s"], r["x"], r["y"], r["low"], r["high"], r["c"], k, data.tobytes())):
                         c.append(v)
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["g", "s", "x", "y", "low", "high", "c", "text", "data"])
 
-    out = written(joined.select("k", "text", "need").mapInArrow(trimmed(run), PIECE).dropDuplicates(["g", "s"]), "repeat-pieces")
-    drop_written(by_text)
+    out = written(source.mapInArrow(trimmed(run), PIECE).dropDuplicates(["g", "s"]), "repeat-pieces")
+    drop_written(source)
     return out
 
 
@@ -281,10 +320,16 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     kinds = written(kinds.select("h", "s", "low", "high", F.least("c", F.lit(2)).cast("int").alias("c"), "place.*"), "repeat-kinds")
     groups = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("c").alias("most")), "repeat-groups")
     mixed = kinds.join(groups.filter("kinds > 1").select("h"), "h")
-    # A stretch that occurs twice repeats whole, whatever else its group holds.
-    found = [kinds.filter("c > 1").select("s", F.col("high").alias("f"), F.col("low").alias("t"))]
-    gone = [suspect, kinds, groups]
-    level = pieces(texts, mixed, unit)
+    cut = parts(texts, mixed, unit)
+    once = F.sum("c") if unit.inside else F.when((F.max("c") > 1) | (F.min("k") != F.max("k")), 2).otherwise(1)
+    sorts = cut.groupBy("g", "s", "x", "y", "low", "high").agg(F.least(once, F.lit(2)).cast("int").alias("c"), F.min(F.struct("k", "n_bytes", "doc", "at")).alias("place"))
+    sorts = written(sorts.select("g", "s", "x", "y", "low", "high", "c", "place.*"), "repeat-sorts")
+    left = written(sorts.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("g"), "repeat-left")
+    # A stretch or part that occurs twice repeats whole, whatever else its group holds.
+    whole = kinds.filter("c > 1").select("s", F.col("high").alias("f"), F.col("low").alias("t"))
+    found = [sorts.filter("c > 1").select("s", F.col("high").alias("f"), F.col("low").alias("t"))]
+    gone = [suspect, kinds, groups, cut, sorts, left]
+    level = pieces(texts, sorts.join(left, "g"), unit)
     while not level.isEmpty():
         crowds = guarded(written(level.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("g"), "repeat-crowds"), 16)
         found.append(written(sorted_groups(level.join(crowds, "g", "left_anti"), unit), "repeat-found"))
@@ -297,9 +342,10 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
         last, level = level, written(split.filter("x < y"), "repeat-pieces")
         drop_written(last, split, twice)
         gone += found[-2:]
-    ranges = found[0]
+    by_part = found[0]
     for f in found[1:]:
-        ranges = ranges.unionByName(f)
+        by_part = by_part.unionByName(f)
+    ranges = whole.unionByName(by_part.join(cut.select("s", "root").distinct(), "s").select(F.col("root").alias("s"), "f", "t"))
     ranges = written(ranges.groupBy("s").agg(F.collect_list(F.struct("f", "t")).alias("ranges")).withColumnRenamed("s", "of"), "repeat-ranges")
     hit = suspect.join(light(ranges, "ranges", 8), F.col("s") == F.col("of")).select("ranges", F.explode(F.arrays_zip("k", "n_bytes", "at")).alias("x"))
     hit = hit.groupBy("x.k", "x.n_bytes").agg(F.collect_list(F.struct("x.at", "ranges")).alias("found"))
