@@ -107,7 +107,10 @@ def anchors(sym: np.ndarray, offsets: np.ndarray, unit: Unit = BYTES) -> tuple[n
 
 
 def text_key(df: DataFrame) -> DataFrame:
-    return df.select("*", F.xxhash64("text").alias("k"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return df.select("*", F.xxhash64("text").alias("k"), F.octet_length("text").alias("n_bytes"))
+
+
+PLACE = np.dtype([("k", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def stretches(texts: DataFrame, unit: Unit) -> DataFrame:
@@ -120,7 +123,7 @@ def stretches(texts: DataFrame, unit: Unit) -> DataFrame:
         for b in batches:
             _, which, m = np.unique(np.stack([b.column(i).to_numpy() for i in (0, 1)], 1), axis=0, return_index=True, return_counts=True)
             b = b.take(pa.array(which))
-            sym, offsets, _, _ = symbols(*utf8_slices(b.column(3)), unit)
+            sym, offsets, _, _ = symbols(*utf8_slices(b.column(2)), unit)
             starts, anchor = anchors(sym, offsets, unit)
             new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
             at, first = anchor[new], starts[new]
@@ -138,13 +141,17 @@ def stretches(texts: DataFrame, unit: Unit) -> DataFrame:
                 c = np.minimum(np.add.reduceat(count, new), 2)
             else:
                 new = c = np.zeros(0, np.int64)
-            cuts = pa.array(np.append(new, len(h)).astype(np.int32))
-            lists = [*[b.column(i).take(pa.array(of)) for i in (0, 1, 2)], pa.array((at - offsets[of]).astype(np.int32))]
-            flat = [pa.array(h[new].view(np.int64)), pa.array(s[new].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (low[new], high[new], c)]]
-            yield pa.RecordBatch.from_arrays([*flat, *[pa.ListArray.from_arrays(cuts, x) for x in lists]], names)
+            place = np.empty(len(h), PLACE)
+            place["k"], place["n"], place["at"] = b.column(0).to_numpy()[of], b.column(1).to_numpy()[of], at - offsets[of]
+            ends = np.append(new, len(h))[1:]
+            raw = place.tobytes()
+            size = PLACE.itemsize
+            more = [raw[size * (x + 1) : size * y] if y > x + 1 else None for x, y in zip(new.tolist(), ends.tolist())]
+            flat = [h[new].view(np.int64), s[new].view(np.int64), *[x.astype(np.int32) for x in (low[new], high[new], c)], place["k"][new], place["n"][new], place["at"][new]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, flat), pa.array(more, pa.binary())], names)
 
     long_enough = texts.filter(F.col("n_bytes") >= unit.length * (1 + unit.words) - unit.words)
-    return long_enough.select("k", "n_bytes", "doc_id", "text").mapInArrow(trimmed(run), "h long, s long, low int, high int, c int, k array<long>, n_bytes array<long>, doc array<long>, at array<int>")
+    return long_enough.select("k", "n_bytes", "text").mapInArrow(trimmed(run), "h long, s long, low int, high int, c int, k long, n_bytes int, at int, more binary")
 
 
 def light(df: DataFrame, lists: str, width: int) -> DataFrame:
@@ -157,25 +164,28 @@ PIECE = "g long, s long, x int, y int, low int, high int, c int, text long, data
 
 
 def needed(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """k, text, need (a list of structs of columns) of one text each that rows (k, n_bytes, doc, columns) name."""
-    by_text = written(rows.groupBy("k", "n_bytes", "doc").agg(F.collect_list(F.struct(*columns)).alias("need")), "repeat-need")
-    joined = texts.join(light(by_text, "need", 48), ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc")))
-    out = joined.select("k", "n_bytes", "doc", "text", "need")
-    out.written_at = by_text.written_at
+    """k, n_bytes, text, need (a list of structs of columns) of each text that rows (k, n_bytes, columns) name, once for all its copies."""
+    by_text = written(rows.groupBy("k", "n_bytes").agg(F.collect_list(F.struct(*columns)).alias("need")), "repeat-need")
+    one = texts.select("k", "n_bytes", "doc_id").groupBy("k", "n_bytes").agg(F.min("doc_id").alias("doc"))
+    one = written(one.join(light(by_text, "need", 48), ["k", "n_bytes"]), "repeat-texts")
+    joined = texts.join(light(one, "need", 48), ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc")))
+    drop_written(by_text)
+    out = joined.select("k", "n_bytes", "text", "need")
+    out.written_at = one.written_at
     return out
 
 
 def parts(texts: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
     """g (the part's context), s (of the part), root (the stretch), x to y (the part's range of starts before the anchor), low to high (what
-    the stretch has of it), c, and a place: k, n_bytes, doc, at; of every part of the mixed stretches, each read from one text."""
+    the stretch has of it), c, and a place: k, n_bytes, at; of every part of the mixed stretches, each read from one text."""
     source = needed(texts, mixed, "h", "s", "low", "high", "c", "at")
     width = -(-unit.first // PARTS)
-    names = ["g", "s", "root", "x", "y", "low", "high", "c", "k", "n_bytes", "doc", "at"]
+    names = ["g", "s", "root", "x", "y", "low", "high", "c", "k", "n_bytes", "at"]
 
     def run(batches):
         for b in batches:
-            sym, starts, _, _ = symbols(*utf8_slices(b.column(3)), unit)
-            need = b.column(4)
+            sym, starts, _, _ = symbols(*utf8_slices(b.column(2)), unit)
+            need = b.column(3)
             flat, of = need.flatten(), np.repeat(np.arange(len(b)), np.diff(need.offsets.to_numpy()))
             h, s, low, high, c, at = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
             first, last = low // width, high // width
@@ -188,9 +198,9 @@ def parts(texts: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
             part = mix64(range_hashes(sym, here - hi, here - lo + unit.length) ^ mix64(g + (lo << 16 | hi).astype(np.uint64)))
             numbers = [g.view(np.int64), part.view(np.int64), s[i], *[v.astype(np.int32) for v in (x, y, lo, hi, c[i])]]
             rest = pa.array(of[i])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), *[b.column(j).take(rest) for j in (0, 1, 2)], pa.array(at[i].astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), *[b.column(j).take(rest) for j in (0, 1)], pa.array(at[i].astype(np.int32))], names)
 
-    out = written(source.mapInArrow(trimmed(run), "g long, s long, root long, x int, y int, low int, high int, c int, k long, n_bytes long, doc long, at int"), "repeat-parts")
+    out = written(source.mapInArrow(trimmed(run), "g long, s long, root long, x int, y int, low int, high int, c int, k long, n_bytes int, at int"), "repeat-parts")
     drop_written(source)
     return out
 
@@ -202,9 +212,9 @@ def pieces(texts: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sym, starts, _, _ = symbols(*utf8_slices(b.column(3)), unit)
+            sym, starts, _, _ = symbols(*utf8_slices(b.column(2)), unit)
             cols = [[] for _ in range(9)]
-            for i, (k, need) in enumerate(zip(b.column(0).to_pylist(), b.column(4).to_pylist())):
+            for i, (k, need) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
                 for r in need:
                     at = int(starts[i]) + r["at"]
                     data = sym[at - r["high"] : at - r["low"] + unit.length]
@@ -315,14 +325,14 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     often = rows.groupBy("h").agg(F.sum("c").alias("times")).filter("times > 1").select("h")
     suspect = written(rows.join(often, "h"), "repeat-suspects")
     drop_written(rows)
-    place = F.struct(*[F.element_at(x, 1).alias(x) for x in ("k", "n_bytes", "doc", "at")])
+    place = F.struct("k", "n_bytes", "at")
     kinds = suspect.groupBy("h", "s", "low", "high").agg(F.sum("c").alias("c"), F.min(place).alias("place"))
     kinds = written(kinds.select("h", "s", "low", "high", F.least("c", F.lit(2)).cast("int").alias("c"), "place.*"), "repeat-kinds")
     groups = written(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("c").alias("most")), "repeat-groups")
     mixed = kinds.join(groups.filter("kinds > 1").select("h"), "h")
     cut = parts(texts, mixed, unit)
     once = F.sum("c") if unit.inside else F.when((F.max("c") > 1) | (F.min("k") != F.max("k")), 2).otherwise(1)
-    sorts = cut.groupBy("g", "s", "x", "y", "low", "high").agg(F.least(once, F.lit(2)).cast("int").alias("c"), F.min(F.struct("k", "n_bytes", "doc", "at")).alias("place"))
+    sorts = cut.groupBy("g", "s", "x", "y", "low", "high").agg(F.least(once, F.lit(2)).cast("int").alias("c"), F.min(place).alias("place"))
     sorts = written(sorts.select("g", "s", "x", "y", "low", "high", "c", "place.*"), "repeat-sorts")
     left = written(sorts.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("g"), "repeat-left")
     # A stretch or part that occurs twice repeats whole, whatever else its group holds.
@@ -333,6 +343,9 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     while not level.isEmpty():
         crowds = guarded(written(level.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("g"), "repeat-crowds"), 16)
         found.append(written(sorted_groups(level.join(crowds, "g", "left_anti"), unit), "repeat-found"))
+        if crowds.isEmpty():
+            gone += [level, found[-1]]
+            break
         split = written(halves(level.join(crowds, "g", "left_semi"), unit), "repeat-pieces")
         # Where a half is one place, its context is the whole string: all of a group are equal.
         ends = split.filter("x = y")
@@ -347,19 +360,40 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
         by_part = by_part.unionByName(f)
     ranges = whole.unionByName(by_part.join(cut.select("s", "root").distinct(), "s").select(F.col("root").alias("s"), "f", "t"))
     ranges = written(ranges.groupBy("s").agg(F.collect_list(F.struct("f", "t")).alias("ranges")).withColumnRenamed("s", "of"), "repeat-ranges")
-    hit = suspect.join(light(ranges, "ranges", 8), F.col("s") == F.col("of")).select("ranges", F.explode(F.arrays_zip("k", "n_bytes", "at")).alias("x"))
-    hit = hit.groupBy("x.k", "x.n_bytes").agg(F.collect_list(F.struct("x.at", "ranges")).alias("found"))
+    hit = suspect.join(light(ranges, "ranges", 8), F.col("s") == F.col("of")).select("k", "n_bytes", "at", "more", "ranges")
+
+    def spread(batches):
+        """k, n_bytes, x, y: each run at each place."""
+        for b in batches:
+            n = np.diff(b.column(4).offsets.to_numpy())
+            flat = b.column(4).flatten()
+            more = b.column(3).to_pylist()
+            own = np.empty(len(b), PLACE)
+            own["k"], own["n"], own["at"] = (b.column(i).to_numpy() for i in (0, 1, 2))
+            extra = np.array([len(m) // PLACE.itemsize if m else 0 for m in more], np.int64)
+            place = np.concatenate([own, np.frombuffer(b"".join(m for m in more if m), PLACE)])
+            row = np.concatenate([np.arange(len(b)), np.repeat(np.arange(len(b)), extra)])
+            i = np.repeat(np.arange(len(row)), n[row])
+            r = np.arange(len(i)) - np.repeat(np.cumsum(n[row]) - n[row], n[row]) + (np.cumsum(n) - n)[row[i]]
+            f, t = (flat.field(j).to_numpy(zero_copy_only=False)[r] for j in (0, 1))
+            at = place["at"][i]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place["k"][i], place["n"][i], at - f, (at - t + unit.length).astype(np.int32))], ["k", "n_bytes", "x", "y"])
 
     def run(batches):
         for b in batches:
-            cols = [[], []]
-            for rows in b.column(2).to_pylist():
-                runs = merged(*zip(*[(r["at"] - x["f"], r["at"] - x["t"] + unit.length) for r in rows for x in r["ranges"]]))
-                cols[0].append([x for x, _ in runs])
-                cols[1].append([y for _, y in runs])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.list_(pa.int32())) for c in cols]], ["k", "n_bytes", "starts", "ends"])
-
-    out = written(hit.mapInArrow(trimmed(run), "k long, n_bytes long, starts array<int>, ends array<int>"), "repeat-spans")
+            flat = b.column(2).flatten()
+            row = np.repeat(np.arange(len(b)), np.diff(b.column(2).offsets.to_numpy()))
+            x, y = (flat.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1))
+            order = np.lexsort((x, row))
+            row, x, y = row[order], x[order], y[order]
+            reach = np.maximum.accumulate(y + (row << 32)) - (row << 32)  # rows in turn
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (x[1:] > reach[:-1]))) if len(row) else row
+            ends = reach[np.append(new[1:], len(row)) - 1] if len(row) else reach
+            cuts = pa.array(np.searchsorted(row[new], np.arange(len(b) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.ListArray.from_arrays(cuts, pa.array(v.astype(np.int32))) for v in (x[new], ends)]], ["k", "n_bytes", "starts", "ends"])
+
+    each = hit.mapInArrow(trimmed(spread), "k long, n_bytes int, x int, y int").groupBy("k", "n_bytes").agg(F.collect_list(F.struct("x", "y")).alias("runs"))
+    out = written(each.mapInArrow(trimmed(run), "k long, n_bytes int, starts array<int>, ends array<int>"), "repeat-spans")
     drop_written(ranges, *gone)
     return out
 
