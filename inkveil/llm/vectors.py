@@ -12,7 +12,7 @@ more than K a task, is ranked by exact cosines in double precision, for which th
 Equal vectors form one class, of which the smallest ids are kept: a class of any size costs one code.
 
 Defined cases: vectors that are null, zero, of another length than the longest, or hold null or non-finite
-components take no part; ties go to the smaller vec_id; rows that repeat a query's vec_id are not its neighbours,
+components take no part, nor do rows of a null vec_id; ties go to the smaller vec_id; rows that repeat a query's vec_id are not its neighbours,
 and a repeated query id has one answer a row; fewer candidates than K give fewer rows; an empty table gives no
 rows; columns other than vec_id and embedding are ignored, whatever their names.
 """
