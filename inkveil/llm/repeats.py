@@ -166,12 +166,13 @@ PIECE = "g long, s long, x int, y int, low int, high int, c int, text long, data
 def needed(texts: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     """k, n_bytes, text, need (a list of structs of columns) of each text that rows (k, n_bytes, columns) name, once for all its copies."""
     by_text = written(rows.groupBy("k", "n_bytes").agg(F.collect_list(F.struct(*columns)).alias("need")), "repeat-need")
-    one = texts.select("k", "n_bytes", "doc_id").groupBy("k", "n_bytes").agg(F.min("doc_id").alias("doc"))
-    one = written(one.join(light(by_text, "need", 48), ["k", "n_bytes"]), "repeat-texts")
-    joined = texts.join(light(one, "need", 48), ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc")))
-    drop_written(by_text)
+    # Only texts that are named meet their lists by a shuffle.
+    some = texts.join(guarded(by_text.select("k", "n_bytes"), 40), ["k", "n_bytes"], "left_semi")
+    one = some.select("k", "n_bytes", "doc_id").groupBy("k", "n_bytes").agg(F.min("doc_id").alias("doc"))
+    one = written(one.join(by_text, ["k", "n_bytes"]), "repeat-texts")
+    joined = some.join(one, ["k", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("doc")))
     out = joined.select("k", "n_bytes", "text", "need")
-    out.written_at = one.written_at
+    out.written_at, out.keys = one.written_at, by_text
     return out
 
 
@@ -201,7 +202,7 @@ def parts(texts: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), *[b.column(j).take(rest) for j in (0, 1)], pa.array(at[i].astype(np.int32))], names)
 
     out = written(source.mapInArrow(trimmed(run), "g long, s long, root long, x int, y int, low int, high int, c int, k long, n_bytes int, at int"), "repeat-parts")
-    drop_written(source)
+    drop_written(source, source.keys)
     return out
 
 
@@ -224,7 +225,7 @@ def pieces(texts: DataFrame, mixed: DataFrame, unit: Unit) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["g", "s", "x", "y", "low", "high", "c", "text", "data"])
 
     out = written(source.mapInArrow(trimmed(run), PIECE).dropDuplicates(["g", "s"]), "repeat-pieces")
-    drop_written(source)
+    drop_written(source, source.keys)
     return out
 
 
