@@ -54,7 +54,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize(("region", "window", "block"), [(2048, 64, 256), (8, 2, 4), (30, 3, 8)])
+@pytest.mark.parametrize(("region", "window", "block"), [(2048, 64, 256), (8, 2, 4)])
 def test_no_link_is_lost(spark, monkeypatch, texts, region, window, block):
     for name, v in (("REGION", region), ("WINDOW", window), ("BLOCK", block), ("SAMPLE", 4), ("LEAVES", 5)):
         monkeypatch.setattr(near_dup, name, v)
