@@ -324,12 +324,12 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     texts = text_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     rows = written(stretches(texts, unit), "repeat-stretches")
     often = rows.groupBy("h").agg(F.sum("c").alias("times")).filter("times > 1").select("h")
-    suspect = written(rows.join(often.hint("shuffle_hash"), "h"), "repeat-suspects")
+    suspect = written(rows.join(often, "h"), "repeat-suspects")
     drop_written(rows)
     place = [F.first(c).alias(c) for c in ("k", "n_bytes", "at")]  # of one row, the same for all three
     kinds = written(suspect.groupBy("h", "s", "low", "high").agg(F.least(F.sum("c"), F.lit(2)).cast("int").alias("c"), *place), "repeat-kinds")
     groups = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h"), "repeat-groups")
-    mixed = kinds.join(groups.hint("shuffle_hash"), "h")
+    mixed = kinds.join(groups, "h")
     cut = parts(texts, mixed, unit)
     once = F.sum("c") if unit.inside else F.when((F.max("c") > 1) | (F.min("k") != F.max("k")), 2).otherwise(1)
     sorts = cut.groupBy("g", "s", "x", "y", "low", "high").agg(F.least(once, F.lit(2)).cast("int").alias("c"), *place)
@@ -339,7 +339,7 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     whole = kinds.filter("c > 1").select("s", F.col("high").alias("f"), F.col("low").alias("t"))
     found = [sorts.filter("c > 1").select("s", F.col("high").alias("f"), F.col("low").alias("t"))]
     gone = [suspect, kinds, groups, cut, sorts, left]
-    level = pieces(texts, sorts.join(left.hint("shuffle_hash"), "g"), unit)
+    level = pieces(texts, sorts.join(left, "g"), unit)
     while not level.isEmpty():
         crowds = guarded(written(level.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("g"), "repeat-crowds"), 16)
         found.append(written(sorted_groups(level.join(crowds, "g", "left_anti"), unit), "repeat-found"))
