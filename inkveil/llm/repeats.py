@@ -110,6 +110,8 @@ def text_key(df: DataFrame) -> DataFrame:
     return df.select("*", F.xxhash64("text").alias("k"), F.octet_length("text").alias("n_bytes"))
 
 
+RUN = np.dtype([("k", "<i8"), ("n", "<i4"), ("x", "<i4"), ("y", "<i4")])
+TASK_BYTES = 16 << 20  # of runs that one task merges
 PLACE = np.dtype([("k", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
@@ -362,8 +364,11 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     ranges = written(ranges.groupBy("s").agg(F.collect_list(F.struct("f", "t")).alias("ranges")).withColumnRenamed("s", "of"), "repeat-ranges")
     hit = suspect.join(light(ranges, "ranges", 8), F.col("s") == F.col("of")).select("k", "n_bytes", "at", "more", "ranges")
 
+    places = suspect.agg(F.sum(1 + F.coalesce(F.length("more"), F.lit(0)) / PLACE.itemsize)).first()[0] or 0
+    buckets = max(16, int(4 * places * RUN.itemsize // TASK_BYTES))
+
     def spread(batches):
-        """k, n_bytes, x, y: each run at each place."""
+        """bucket, runs: each run at each place, packed, a row a batch and bucket of texts."""
         for b in batches:
             n = np.diff(b.column(4).offsets.to_numpy())
             flat = b.column(4).flatten()
@@ -377,23 +382,28 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
             r = np.arange(len(i)) - np.repeat(np.cumsum(n[row]) - n[row], n[row]) + (np.cumsum(n) - n)[row[i]]
             f, t = (flat.field(j).to_numpy(zero_copy_only=False)[r] for j in (0, 1))
             at = place["at"][i]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place["k"][i], place["n"][i], at - f, (at - t + unit.length).astype(np.int32))], ["k", "n_bytes", "x", "y"])
-
-    def run(batches):
-        for b in batches:
-            flat = b.column(2).flatten()
-            row = np.repeat(np.arange(len(b)), np.diff(b.column(2).offsets.to_numpy()))
-            x, y = (flat.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1))
-            order = np.lexsort((x, row))
-            row, x, y = row[order], x[order], y[order]
-            reach = np.maximum.accumulate(y + (row << 32)) - (row << 32)  # rows in turn
-            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (x[1:] > reach[:-1]))) if len(row) else row
-            ends = reach[np.append(new[1:], len(row)) - 1] if len(row) else reach
-            cuts = pa.array(np.searchsorted(row[new], np.arange(len(b) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.ListArray.from_arrays(cuts, pa.array(v.astype(np.int32))) for v in (x[new], ends)]], ["k", "n_bytes", "starts", "ends"])
-
-    each = hit.mapInArrow(trimmed(spread), "k long, n_bytes int, x int, y int").groupBy("k", "n_bytes").agg(F.collect_list(F.struct("x", "y")).alias("runs"))
-    out = written(each.mapInArrow(trimmed(run), "k long, n_bytes int, starts array<int>, ends array<int>"), "repeat-spans")
+            out = np.empty(len(i), RUN)
+            out["k"], out["n"], out["x"], out["y"] = place["k"][i], place["n"][i], at - f, at - t + unit.length
+            to = (mix64(out["k"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if len(out) else np.zeros(0, np.int64)
+            order = np.argsort(to, kind="stable")
+            out, to = out[order], to[order]
+            new = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else to
+            ends = np.append(new, len(to))[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(to[new]), pa.array([out[v:w].tobytes() for v, w in zip(new, ends)], pa.binary())], ["bucket", "runs"])
+
+    def run(t: pa.Table) -> pa.Table:
+        r = np.frombuffer(b"".join(t.column("runs").to_pylist()), RUN)
+        r = r[np.lexsort((r["x"], r["n"], r["k"]))]
+        text = np.append(True, (r["k"][1:] != r["k"][:-1]) | (r["n"][1:] != r["n"][:-1]))
+        row, x, y = np.cumsum(text) - 1, r["x"].astype(np.int64), r["y"].astype(np.int64)
+        reach = np.maximum.accumulate(y + (row << 32)) - (row << 32)  # texts in turn
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (x[1:] > reach[:-1])))
+        ends = reach[np.append(new[1:], len(row)) - 1]
+        cuts = pa.array(np.searchsorted(row[new], np.arange(row[-1] + 2)).astype(np.int32))
+        return pa.table([pa.array(r["k"][text]), pa.array(r["n"][text]), *[pa.ListArray.from_arrays(cuts, pa.array(v.astype(np.int32))) for v in (x[new], ends)]], ["k", "n_bytes", "starts", "ends"])
+
+    each = hit.mapInArrow(trimmed(spread), "bucket long, runs binary").groupBy("bucket").applyInArrow(run, "k long, n_bytes int, starts array<int>, ends array<int>")
+    out = written(each, "repeat-spans")
     drop_written(ranges, *gone)
     return out
 
