@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from inkveil.functions.patterns import KINDS
-from inkveil.operators import detect as D
+from inkveil.operators import detect as D, reading as O, redact as R
+from inkveil.plans import catalog
 
 PIECES = "1|12|123|1234|12345678|12345679|1234567890|٣|/|-| | |.|,|€|EUR|Sk|SK|@|a|x_|á|www.|http://|sk|info|+421|0|02/|905| mája |2020-01-02|1.1.2020|LV č. |parc. č. |Oddiel: Sro, Vložka č. |V-|Cb/|T/|%|\n|a@b.sk|x.eu|850315/0018|SK24 1100 0000 0026 1234 5678|000123-1234567899/1100|Ján|5,- €".split("|")
 KNOWN = ("Ján", "12345679", "2020-01-02", "a@b.sk", None)
@@ -30,3 +33,47 @@ def test_other_types_are_not_looked_for(monkeypatch):
     monkeypatch.setattr(D, "scan", lambda text, kinds: asked.extend(kinds) or scan(text, kinds))
     D.spans_of_types("Dňa 1.1.2020 Ján, a@b.sk, 12345679", KNOWN, D.Names(), frozenset(["DATUM"]))
     assert set(asked) == {"DATUM"}
+
+
+UNITS = "doc_id int, unit_seq int, location string, text string, known array<string>"
+
+
+def units(spark, parts=3):
+    words = ["Ján Novák", "a@b.sk", "12345679", "12345670", "Nováka", "850315/0019", "1.1.2020", "12345679-1543039117/1100", "", "  a \t", "www.x.sk"]
+    pick = random.Random(3)
+    rows = [(i % 7 if i % 9 else None, i // 7, pick.choice(["body", "header", None]), None if i % 13 == 0 else " ".join(pick.choice(words) for _ in range(5)), ["Ján Novák", "12345679"]) for i in range(140)]
+    return spark.createDataFrame(rows, UNITS).repartition(parts)
+
+
+def same(a, b):
+    assert sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect())) and b.count() > 0
+
+
+def test_reading_order_is_the_plain_way(spark):
+    u = units(spark)
+    found = R.spans(u, "known")
+    told = found.filter("type in ('MENO', 'ICO') and doc_id > 1").select("doc_id", "type", "group_key", F.when(F.col("auto"), "suppress").otherwise("force").alias("action"))
+    columns = ["unit_seq", "location", "type", "surface", "start", "end", "auto", "group_key", "snippet", "label"]
+    plain = found.dropna(subset=["doc_id"])  # decisions on no document don't join
+    read = u.dropna(subset=["doc_id"])
+    same(O.labels(read, columns, "known", decisions=told), R.label(R.decide(plain, told)).select("doc_id", *columns))
+    d = R.decide(found)
+    k = R.label(d)
+    same(O.redacted(u, "known"), R.redacted(u, "known"))
+    same(O.report_rows(u, "known"), R.report_rows(k))
+    review = R.review_rows(d)
+    same(O.review(u, "known"), R.review_order(review))
+    same(O.occurrences(read, "known"), R.occurrence_lists(R.label(R.decide(plain))).join(R.groups(R.label(R.decide(plain))), ["doc_id", "label"]))
+    same(O.report_text(read, "known"), R.report_text(R.label(R.decide(plain)), R.decide(plain)))
+    before = review.filter("doc_id > 2").withColumn("ticked", F.col("count") > 1).dropDuplicates(["doc_id", "type", "group_key"])
+    same(O.carried(read, before, "known").drop("place"), R.carried(R.review_rows(R.decide(plain)), before))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_of_labels_deal_units_once_and_broadcast_nothing(spark):
+    for name in ("labels", "redacted_text", "report_rows", "review_rows", "review_order", "report_texts", "occurrences", "decisions", "build_decisions"):
+        plan = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Window" not in plan and "Join" not in plan and "BroadcastExchange" not in plan, name
