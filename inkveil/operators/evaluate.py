@@ -244,7 +244,8 @@ def merged(spans: DataFrame) -> DataFrame:
     """doc_id, start, end: touching and overlapping spans as one."""
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= F.col("_r"), 0).otherwise(1)).over(w)
+    # By rows: by default those of one order are added up together, which makes one of empty spans that don't touch.
+    island = F.sum(F.when(F.col("start") <= F.col("_r"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return spans.withColumn("_r", reach).withColumn("_k", island).groupBy("doc_id", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_k")
 
 

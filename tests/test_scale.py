@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkveil.functions.patterns import KINDS
-from inkveil.operators import detect as D, reading as O, redact as R
+from inkveil.operators import detect as D, evaluate as E, reading as O, redact as R
 from inkveil.plans import catalog
 
 PIECES = "1|12|123|1234|12345678|12345679|1234567890|٣|/|-| | |.|,|€|EUR|Sk|SK|@|a|x_|á|www.|http://|sk|info|+421|0|02/|905| mája |2020-01-02|1.1.2020|LV č. |parc. č. |Oddiel: Sro, Vložka č. |V-|Cb/|T/|%|\n|a@b.sk|x.eu|850315/0018|SK24 1100 0000 0026 1234 5678|000123-1234567899/1100|Ján|5,- €".split("|")
@@ -77,3 +77,8 @@ def test_queries_of_labels_deal_units_once_and_broadcast_nothing(spark):
     for name in ("labels", "redacted_text", "report_rows", "review_rows", "review_order", "report_texts", "occurrences", "decisions", "build_decisions"):
         plan = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "Window" not in plan and "Join" not in plan and "BroadcastExchange" not in plan, name
+
+
+def test_spans_without_places_stay_apart(spark):
+    d = spark.createDataFrame([(1, None, None), (1, None, None), (1, 3, 5), (1, 4, 9), (2, -5, -9), (2, -5, -9)], "doc_id long, start int, end int")
+    assert sorted(map(repr, (tuple(r) for r in E.merged(d).select("doc_id", "start", "end").collect()))) == sorted(map(repr, [(1, None, None), (1, None, None), (1, 3, 9), (2, -5, -9), (2, -5, -9)]))
