@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkveil.functions.patterns import KINDS
-from inkveil.operators import detect as D, evaluate as E, reading as O, redact as R
+from inkveil.operators import detect as D, evaluate as E, grading as H, reading as O, redact as R
 from inkveil.plans import catalog
 
 PIECES = "1|12|123|1234|12345678|12345679|1234567890|٣|/|-| | |.|,|€|EUR|Sk|SK|@|a|x_|á|www.|http://|sk|info|+421|0|02/|905| mája |2020-01-02|1.1.2020|LV č. |parc. č. |Oddiel: Sro, Vložka č. |V-|Cb/|T/|%|\n|a@b.sk|x.eu|850315/0018|SK24 1100 0000 0026 1234 5678|000123-1234567899/1100|Ján|5,- €".split("|")
@@ -82,3 +82,28 @@ def test_queries_of_labels_deal_units_once_and_broadcast_nothing(spark):
 def test_spans_without_places_stay_apart(spark):
     d = spark.createDataFrame([(1, None, None), (1, None, None), (1, 3, 5), (1, 4, 9), (2, -5, -9), (2, -5, -9)], "doc_id long, start int, end int")
     assert sorted(map(repr, (tuple(r) for r in E.merged(d).select("doc_id", "start", "end").collect()))) == sorted(map(repr, [(1, None, None), (1, None, None), (1, 3, 9), (2, -5, -9), (2, -5, -9)]))
+
+
+def test_grading_in_one_pass_is_the_plain_way(spark):
+    pick = random.Random(5)
+    surfaces = ["Novák", "Novákov dom", "12345670", "a@b.sk", "dom", "", None]
+    truth = [(i % 6, pick.choice(surfaces), pick.choice(["MENO", "ICO", "DECOY", None]), *pick.choice([(True, False), (False, True), (False, False), (True, True)]), pick.choice(["body", "header"])) for i in range(60)]
+    t = spark.createDataFrame(truth, "doc_id int, surface string, type string, auto_redact boolean, should_flag boolean, part string")
+    docs = lambda n: spark.createDataFrame([(i % n, pick.choice(["document_xml", "text_layer", "xmp", "annotations", None]), pick.choice(["Novákov dom 12345670 Novákovi patrí dom", "Novák a@b.sk dom dom", "", None])) for i in range(20)], "doc_id int, part string, text string")
+    o, r = docs(7), docs(5)
+    review = t.filter("should_flag").select("doc_id", "surface").limit(9).localCheckpoint()
+    g = H.entries(t)
+    same(H.leaks(g, r), E.leaks(t, r))
+    same(H.rates(g, r, review), E.rates(t, r, review))
+    same(H.retention(g, o, r), E.retention(t, o, r))
+    same(H.collisions(g), E.collisions(t))
+    files = spark.createDataFrame([(i, i == 3) for i in range(7)], "doc_id int, must_refuse boolean")
+    outs = spark.createDataFrame([(i, None if i != 2 else "bad") for i in (0, 1, 2, 4)], "path int, error string")
+    same(H.run_eval(g, files, o, r, outs), E.run_eval(t, files, o, r, outs))
+    gathered = g.groupBy("doc_id").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+    same(H.greedy(o, gathered), E.greedy(o, t))
+
+
+def test_grading_sends_no_table_to_every_task(spark):
+    for name in ("rates_by_type", "baseline_matrix", "leaks_of_null", "leaks_of_engine", "retention_of_null", "gt_collisions"):
+        assert "BroadcastHashJoin" not in plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
