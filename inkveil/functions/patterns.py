@@ -92,14 +92,14 @@ def quick(pattern: str) -> Callable[[str], list[tuple[int, int]]]:
     return lambda text: [m.span() for m in every(text)]
 
 
-def around(hit: str, before: str, after: str, options: str) -> Callable[[str], list[tuple[int, int]]]:
-    """Places of options, of which each match holds a hit, and else only characters of before to its left and of after to its right."""
-    hits, whole = re.compile(hit).finditer, re.compile(options).finditer
+def around(hit: str, before: str, after: str, options: str) -> Callable[..., list[tuple[int, int]]]:
+    """Places of options, of which each match holds a hit, and else only characters of before to its left and of after to its right. places: of all that may be hits, if known."""
+    hits, is_hit, whole = re.compile(hit).finditer, re.compile(hit).match, re.compile(options).finditer
     left, right = re.compile(f"(?:{before})*"), re.compile(f"(?:{after})*")
 
-    def run(text: str) -> list[tuple[int, int]]:
+    def run(text: str, places: Iterable[int] | None = None) -> list[tuple[int, int]]:
         out, done, seen, mirrored, n = [], 0, 0, None, len(text)
-        for h in hits(text):
+        for h in hits(text) if places is None else filter(None, (is_hit(text, p) for p in places)):
             a, b = h.span()
             if a < seen:
                 continue

@@ -16,11 +16,13 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inkveil.functions.patterns import FIRST, KINDS, PRECEDENCE, SECOND, Kind
 from inkveil.functions.text import EDGE, norm_of, stem_of, tokens
+from inkveil.operators import bulk
 
 CANDIDATE = "array<struct<type:string,surface:string,start:int,end:int,auto:boolean,group_key:string>>"
 #: Words whose stems a task keeps.
@@ -68,7 +70,8 @@ class Names:
             if stems is None:
                 if len(self.entities) >= 1000:
                     self.entities.clear()
-                stems = self.entities[entity] = tuple(stem_of(word) for word, _ in tokens(entity or ""))
+                number = entity and entity.isascii() and entity.isdigit()
+                stems = self.entities[entity] = (entity,) if number else tuple(stem_of(word) for word, _ in tokens(entity or ""))
             for s in stems:
                 out.setdefault(s, i)
         out.pop("", None)
@@ -212,6 +215,12 @@ def spans_of_types(text: str, known: tuple, names: Names, types: frozenset[str])
     return [s for s in every if s[2] in types]
 
 
+def found_of(col: pa.Array, known: pa.Array, types: frozenset[str] | None = None) -> pa.Array:
+    """Resolved candidates of texts with their known entities, of the given types only."""
+    with no_cycles():
+        return bulk.arrays(col.to_pylist(), known.to_pylist(), Names(), types)
+
+
 def _each(col: pa.Array, known: pa.Array, spans: Callable[[str, tuple, Names], list[Span]]) -> pa.Array:
     with no_cycles():
         names, texts = Names(), col.to_pylist()
@@ -219,8 +228,8 @@ def _each(col: pa.Array, known: pa.Array, spans: Callable[[str, tuple, Names], l
 
 
 def found(col: pa.Array, known: pa.Array) -> pa.Array:
-    """Resolved candidates of texts with their known entities."""
-    return _each(col, known, spans_of)
+    """Resolved candidates of texts with their known entities, for SQL."""
+    return found_of(col, known)
 
 
 def unresolved(units: DataFrame, known: str, out: str) -> DataFrame:
@@ -270,12 +279,28 @@ def detect(units: DataFrame, known: str | None = None, extra_terms: list[str] |
     types = None if only is None else frozenset(only)
 
     def run(col: pa.Array, entities: pa.Array) -> pa.Array:
-        return _each(col, entities, spans_of if types is None else lambda t, k, names: spans_of_types(t, k, names, types))
+        return found_of(col, entities, types)
 
     # Not deterministic in name only: else the optimizer may run it once for each use of its column.
     return units.withColumn("cands", F.arrow_udf(run, CANDIDATE).asNondeterministic()(F.col("text"), entities_of(known, extra_terms)))
 
 
+def counted(units: DataFrame, known: str | None = None, extra_terms: list[str] | None = None) -> DataFrame:
+    """type, auto, n, starts: how many candidates detect() finds and the sum of their starts. A task counts its own; only these counts leave it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, names = np.zeros((2, len(bulk.TYPES), 2), np.int64), Names()
+        with no_cycles():
+            for batch in batches:
+                bulk.tally(batch.column(0).to_pylist(), batch.column(1).to_pylist(), names, totals)
+        t, sure = np.nonzero(totals[0])
+        columns = [[bulk.TYPES[i] for i in t], pa.array(sure == 1), *totals[:, t, sure]]
+        yield pa.RecordBatch.from_pydict(dict(zip(["type", "auto", "n", "starts"], columns)))
+
+    counts = units.select("text", entities_of(known, extra_terms).alias("_known")).mapInArrow(run, "type string, auto boolean, n long, starts long")
+    return counts.groupBy("type", "auto").agg(F.sum("n").alias("n"), F.sum("starts").alias("starts"))
+
+
 def register(spark: SparkSession) -> None:
     """detect_spans(text, entities) for SQL."""
     spark.udf.register("detect_spans", F.arrow_udf(found, CANDIDATE))

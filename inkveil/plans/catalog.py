@@ -157,7 +157,7 @@ def known_entities(spark, sf_dir):
 
 @query(f"WITH {_SPANS} SELECT type, auto, count(*) AS n, cast(sum(start) as bigint) AS starts FROM f GROUP BY type, auto")
 def resolved_counts(spark, sf_dir):
-    return _found(spark, sf_dir).groupBy("type", "auto").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+    return D.counted(S.carrier(spark, sf_dir), "known")
 
 
 _STEM = "regexp_replace(translate(lower(w), 'áéíóúýĺŕ', 'aeiouylr'), '^(.{3,}?)(?:" + "|".join(T.ENDINGS) + ")$', '\\1')"

@@ -46,10 +46,17 @@ def carrier_sql(orders: str, name: str) -> str:
     return f"SELECT c AS doc_id, k AS unit_seq, loc AS location, {TEXT} AS text, name, {', '.join(FIELDS)} FROM (SELECT o_custkey AS c, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'header' ELSE 'body' END AS loc, {name} AS name, {fields} FROM (SELECT *, o_orderkey AS k FROM {orders}) o) s"
 
 
+#: Bytes of keys, as Spark estimates them, of one task: some 25,000 rows.
+KEY_BYTES = 64 << 10
+
+
 def spread(keys: DataFrame) -> DataFrame:
-    """Narrow key rows over all cores, where their files are fewer than these: what is made of the keys is much wider."""
-    cores = keys.sparkSession.sparkContext.defaultParallelism
-    return keys.repartition(cores, "o_orderkey") if len(keys.inputFiles()) < cores else keys
+    """Narrow key rows dealt to tasks by their size: what is made of the keys is much wider than their files.
+
+    The number of cores alone won't do: Spark counts two as long as no executor has registered.
+    """
+    size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, -(-size // KEY_BYTES)), "o_orderkey")
 
 
 def carrier(spark: SparkSession, sf_dir: str) -> DataFrame:

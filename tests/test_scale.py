@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkveil.functions.patterns import KINDS
-from inkveil.operators import detect as D, evaluate as E, grading as H, reading as O, redact as R
+from inkveil.operators import bulk as B, detect as D, evaluate as E, grading as H, reading as O, redact as R
 from inkveil.plans import catalog
+from inkveil.sources import truth as S
 
 PIECES = "1|12|123|1234|12345678|12345679|1234567890|٣|/|-| | |.|,|€|EUR|Sk|SK|@|a|x_|á|www.|http://|sk|info|+421|0|02/|905| mája |2020-01-02|1.1.2020|LV č. |parc. č. |Oddiel: Sro, Vložka č. |V-|Cb/|T/|%|\n|a@b.sk|x.eu|850315/0018|SK24 1100 0000 0026 1234 5678|000123-1234567899/1100|Ján|5,- €".split("|")
 KNOWN = ("Ján", "12345679", "2020-01-02", "a@b.sk", None)
@@ -35,6 +37,46 @@ def test_other_types_are_not_looked_for(monkeypatch):
     assert set(asked) == {"DATUM"}
 
 
+def test_many_texts_at_once_are_found_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(B, "MOST_CHARS", 500)
+    pick = random.Random(11)
+    pieces = [*PIECES, "ß", "ŉ", "İ", "😀", "Kováčovej", "Mária", "\u2028", "\x1f", "123", "/1234", "22-3333333/1234-44/5555", "1 000,00 €", "12-345/"]
+    some = ["".join(pick.choice(pieces) for _ in range(pick.randint(0, 25))) for _ in range(4000)] + [None, "", "a" * 2000, None]
+    known = [pick.choice([list(KNOWN), ["Ján", "Mária Kováčová", "ß"], [f"x{i}" for i in range(40)] + ["Ján"], [], None]) for _ in some]
+    names = D.Names()
+    one_by_one = [None if t is None else D.spans_of(t, tuple(k or ()), names) for t, k in zip(some, known)]
+    got = B.arrays(some, known, D.Names())
+    got.validate(full=True)
+    assert got.equals(D.as_array(some, one_by_one)) and len(got.values) > 1000
+    for t in (*KINDS, "MENO"):
+        only = [r and [s for s in r if s[2] == t] for r in one_by_one]
+        assert B.arrays(some, known, D.Names(), frozenset([t])).equals(D.as_array(some, only)), t
+    assert B.arrays([], [], D.Names()).to_pylist() == [] and B.arrays([None, ""], [None, None], D.Names()).to_pylist() == [None, []]
+
+
+def test_detection_takes_texts_together(monkeypatch):
+    monkeypatch.setattr(D, "scan", None)  # the way text by text
+    found = D.found(pa.array(["Ján 12345679", None]), pa.array([["Ján"], None], pa.list_(pa.string()))).to_pylist()
+    assert [(c["type"], c["group_key"]) for c in found[0]] == [("MENO", "entity:0"), ("ICO", "12345679")] and found[1] is None
+
+
+def test_counts_are_those_of_the_spans(spark):
+    u = units(spark)
+    same(D.counted(u, "known", ["www.x.sk"]), R.spans(u, "known", ["www.x.sk"]).groupBy("type", "auto").agg(F.count("*").alias("n"), F.sum("start").alias("starts")))
+    assert D.counted(u.limit(0), "known").count() == 0
+
+
+def test_keys_are_dealt_by_their_size(spark, tmp_path):
+    spark.range(200_000).selectExpr("id as o_custkey", "id as o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    keys = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    assert S.spread(keys).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_counts_and_terms_carry_no_more_than_they_need(spark):
+    plan = plan_of(catalog.QUERIES["resolved_counts"](spark, "/root/testdata/sf0.001"))
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
 UNITS = "doc_id int, unit_seq int, location string, text string, known array<string>"
 
 
