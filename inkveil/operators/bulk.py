@@ -33,6 +33,7 @@ _PRIORITY = np.array([[s * _N + PRECEDENCE.index(t) if t in FIRST else 3 * _N +
 _WORD, _DIGIT, _SPACE, _EXPANDS = 1, 2, 4, 8
 #: The pattern of amounts, whose options differ in what follows the number only, which is of one length then.
 _SUM = re.compile(rf"\b{AMOUNT}(?:,\d{{2}}{GAP}€|,\d{{2}}{GAP}EUR\b|,-{GAP}€|{GAP}Sk\b)")
+_OTHERS = ("EMAIL", "URL", "LV", "PARCELA", "ORSR_VLOZKA")
 _DOMAINS = "".join(sorted({d[0] for d in DOMAINS.split()}))
 _BEFORE, _AFTER = "\n" * 4, "\n" * 8
 
@@ -126,8 +127,8 @@ class Chunk:
     def _digit(self, at: np.ndarray) -> np.ndarray:
         return self.chars.value[self.codes[at]]
 
-    def first(self) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray | None]]:
-        """Type, starts, ends and whether sure (None: all are) of each type, and of later types."""
+    def numbers(self) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Type, starts, ends and whether sure (None: all are) of each type that runs of digits lead to."""
         codes, flags = self.codes, self.flags
         digit = (flags & _DIGIT) != 0
         turns = np.flatnonzero(digit[1:] != digit[:-1]) + 1
@@ -190,12 +191,16 @@ class Chunk:
         filed = (before == ord("-")) & _is(codes[a - 2], FILINGS) & ((flags[a - 3] & _WORD) == 0) & (n <= 4) & slashed4
         heard = opens & (n <= 2) & _is(c, "".join(sorted({w[0] for w in AGENDAS.split()})))
         yield "SPISOVA_ZNACKA", *self._fitting(KINDS["SPISOVA_ZNACKA"].pattern, np.sort(np.concatenate([a[filed] - 2, a[heard]]))), None
+
+    def _others(self, t: str) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of a type that numbers() doesn't find."""
+        if t != "URL":
+            return _array(KINDS[t].spans(self.all))
         # An address holds a dot and the first letter of a domain, or starts in a way of its own.
+        codes = self.codes
         dots, www, http = (np.flatnonzero(codes == ord(x)) for x in ".wh")
         may = np.sort(np.concatenate([dots[_is(codes[dots + 1], _DOMAINS)], www[codes[www + 1] == ord("w")], http[codes[http + 1] == ord("t")]]))
-        yield "URL", *_array(KINDS["URL"].spans(self.all, may.tolist())), None
-        for t in ("EMAIL", "LV", "PARCELA", "ORSR_VLOZKA"):
-            yield t, *_array(KINDS[t].spans(self.all)), None
+        return _array(KINDS["URL"].spans(self.all, may.tolist()))
 
     def names(self, known: list[tuple], names) -> tuple[list[int], list[int], list[int]]:
         """Starts, ends and entities of tokens whose stem is one of a known entity's. A stem starts its word's folded form: only words around it are looked at."""
@@ -235,12 +240,30 @@ class Chunk:
 
     def found(self, known: list[tuple], names, types: frozenset[str] | None = None) -> Found:
         """Resolved spans, of the given types only."""
-        parts = [(a, b, np.full(len(a), CODE[t]), np.ones(len(a), bool) if sure is None else sure, np.full(len(a), -1)) for t, a, b, sure in self.first()]
-        of_names = [np.array(c, np.int64) for c in self.names(known, names)]
-        parts.append((of_names[0], of_names[1], np.full(len(of_names[0]), _MENO), np.ones(len(of_names[0]), bool), of_names[2]))
+        parts = []
+
+        def add(t: str, a: np.ndarray, b: np.ndarray, sure: np.ndarray | None = None, entity: np.ndarray | None = None) -> None:
+            parts.append((a, b, np.full(len(a), CODE[t]), np.ones(len(a), bool) if sure is None else sure, np.full(len(a), -1) if entity is None else entity))
+
+        for x in self.numbers():
+            add(*x)
+        # A name never drives out another type.
+        if types is None or "MENO" in types:
+            a, b, entity = (np.array(c, np.int64) for c in self.names(known, names))
+            add("MENO", a, b, None, entity)
+        need = set(_OTHERS if types is None else types.intersection(_OTHERS))
+        if not need.issuperset(_OTHERS):
+            # The others matter to a wanted span that is theirs, too, and all of theirs hold a dot; e-mails to addresses. LV, PARCELA and ORSR_VLOZKA each start with words that no other type's span holds.
+            dots = np.concatenate([[0], np.cumsum(self.codes == ord("."))])
+            if any((dots[b] > dots[a]).any() for a, b, k, _, _ in parts if len(k) and TYPES[k[0]] in types):
+                need.update(_OTHERS)
+            elif need:
+                need.update(["EMAIL", "URL"])
+        for t in need:
+            add(t, *self._others(t))
         a, b, kind, sure, entity = map(np.concatenate, zip(*parts))
         # Accounts are disjoint, e-mails likewise: only the last to start before a span may hold it.
-        keep = ~self._inside(a, b, kind == _ACCOUNT, (kind < _MENO) | (kind == _MENO), True) & ~self._inside(a, b, kind == _EMAIL, kind == _URL, False)
+        keep = ~self._inside(a, b, kind == _ACCOUNT, kind <= _MENO, True) & ~self._inside(a, b, kind == _EMAIL, kind == _URL, False)
         a, b, kind, sure, entity = a[keep], b[keep], kind[keep], sure[keep], entity[keep]
         order = np.lexsort((_PRIORITY[kind, sure.astype(np.int64)], b, a))
         a, b = a[order], b[order]
