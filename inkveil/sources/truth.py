@@ -59,8 +59,17 @@ def spread(keys: DataFrame) -> DataFrame:
     return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, -(-size // KEY_BYTES)), "o_orderkey")
 
 
+#: Bytes of code beyond which the JVM interprets a method, ever.
+HUGE_METHOD = 8000
+
+
 def carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units with known entities, made of orders; one document a customer."""
+    """Units with known entities, made of orders; one document a customer.
+
+    The fields in one generated method are beyond what the JVM compiles. The limit, left set in the session, has Spark split such methods.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(limit, str(min(HUGE_METHOD, int(spark.conf.get(limit)))))
     made = spark.sql(carrier_sql("{orders}", NAME), orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")))
     # A company's number is among the known entities: a name and a number claim one span.
     return made.withColumn("known", F.array(F.lit("Ján Novák"), F.lit("Mária Kováčová"), F.lit(" "), F.col("ico")))

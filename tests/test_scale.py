@@ -60,6 +60,20 @@ def test_detection_takes_texts_together(monkeypatch):
     assert [(c["type"], c["group_key"]) for c in found[0]] == [("MENO", "entity:0"), ("ICO", "12345679")] and found[1] is None
 
 
+def test_terms_alone_are_found_without_addresses(monkeypatch):
+    asked = []
+    others = B.Chunk._others
+    monkeypatch.setattr(B.Chunk, "_others", lambda self, t: asked.append(t) or others(self, t))
+    texts = ["Predávajúci Ján, www.x.sk, a@b.sk", "x.eu Ján"]
+    assert [len(x) for x in B.arrays(texts, [["Ján"]] * 2, D.Names(), frozenset(["MENO"])).to_pylist()] == [1, 1] and not asked
+    assert B.arrays(texts, [["x.eu"]] * 2, D.Names(), frozenset(["MENO"])).to_pylist() == [[], []] and "URL" in asked
+
+
+def test_texts_are_made_by_methods_the_jvm_compiles(spark):
+    S.carrier(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_counts_are_those_of_the_spans(spark):
     u = units(spark)
     same(D.counted(u, "known", ["www.x.sk"]), R.spans(u, "known", ["www.x.sk"]).groupBy("type", "auto").agg(F.count("*").alias("n"), F.sum("start").alias("starts")))
